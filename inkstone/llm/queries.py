@@ -5,17 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import neardup
+from . import decontaminate, neardup, packing, pii, quality, warc
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_isolation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=85, den=100, band_rows=5)
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), width=3, num=85, den=100, band_rows=5)
+
+
+def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write(spark, _table(spark, sf_dir, "pages"))
+    return warc.read(index, folder).drop("url", "payload")
+
+
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(spark, _table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_minhash_neardup": op7_minhash_neardup}
+    return {f.__name__: f for f in (op4_isolation_quality, op5_spaced_seed_decontamination, op6_certified_packing, op7_minhash_neardup, op8_seekable_warc, op10_weak_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
