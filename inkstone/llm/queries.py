@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, packing, pii, quality, warc
+from . import chat, decontaminate, licenses, neardup, packing, pii, quality, suffixtree, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(spark, toxicity.train(spark, docs, _table(spark, sf_dir, "labels")), docs)
+
+
+def op2_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = chat.windows(chat.with_probe(spark, _table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.read_back(windows))
+
+
 def op4_isolation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,12 +48,28 @@ def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, folder).drop("url", "payload")
 
 
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.train_and_score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(spark, _table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_isolation_quality, op5_spaced_seed_decontamination, op6_certified_packing, op7_minhash_neardup, op8_seekable_warc, op10_weak_pii)}
+    own = (
+        op1_toxicity_chain,
+        op2_license_dice,
+        op3_chat_windows,
+        op4_isolation_quality,
+        op5_spaced_seed_decontamination,
+        op6_certified_packing,
+        op7_minhash_neardup,
+        op8_seekable_warc,
+        op9_suffix_tree_scores,
+        op10_weak_pii,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
