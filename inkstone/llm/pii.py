@@ -13,7 +13,7 @@ Every pattern is scanned in time linear in the text.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import ipaddress
 import re
 from collections.abc import Iterator
@@ -43,8 +43,8 @@ _DIGIT = re.compile(r"[0-9]")
 _LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?(?:\[at\]|\(at\)|\{at\}|<at>|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,5}", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])(?=((?:[0-9]{13,19}|[0-9]{4}(?:[\x20./_-][0-9]{4}){2}[\x20./_-][0-9]{1,7})(?![0-9])))"),
+    "phone": re.compile(r"(?<![0-9+.-])(?:(?:\+|00)[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])"),
 }
 
 # Gazetteers and context words.
@@ -137,13 +137,20 @@ def examine(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
                 continue
         elif not digits or kind == "ip" and "::" not in text and text.count(":") < 3:
             continue
-        loose += [(kind, *m.span()) for m in _LOOSE[kind].finditer(text)]
-    if loose:
-        taken = [(a, b) for _, a, b in base]
-        for kind, a, b in sorted(loose, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
-            if all(b <= c or d <= a for c, d in taken):
-                taken.append((a, b))
-                voted.append((kind, a, b, _pattern(text, kind, a, b, False), False))
+        loose += [(kind, *m.span(m.re.groups)) for m in _LOOSE[kind].finditer(text)]
+    candidates = [(k, a, b, _pattern(text, k, a, b, False)) for k, a, b in loose]
+    taken: list[tuple[int, int]] = []  # disjoint and sorted
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    # well-shaped candidates first, then from the left, longer ones first
+    for kind, a, b, pattern in sorted(candidates, key=lambda c: (-votes_of(c[3])[0][1], c[1], -c[2], KINDS.index(c[0]))):
+        at = bisect.bisect_left(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
+            voted.append((kind, a, b, pattern, False))
     return base, voted
 
 
@@ -238,7 +245,7 @@ def find(spark: SparkSession, docs: DataFrame, *, accept: float = ACCEPT) -> Dat
 
     Offsets are code points, ends exclusive.  Null or empty texts have no spans; a null id
     stays null; repeated rows are answered one by one; other columns are ignored; an empty
-    table gives an empty result.  spans never overlap a span added later, and always hold base.
+    table gives an empty result.  spans hold all of base; an added span overlaps no other.
     """
     work = Workspace(spark, "pii")
     voted = work.save(_texts(docs).mapInArrow(_examined, f"doc_id long, voted {_VOTED}"), "voted")
