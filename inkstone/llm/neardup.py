@@ -6,7 +6,8 @@ bucket.  Two rounds follow, both over all buckets:
 
 1. every member is compared with the least node of its bucket;
 2. buckets that still hold several components are cut into blocks of bounded size and
-   all pairs of different components are estimated block against block.
+   all pairs of different components are estimated block against block.  A block gives
+   the links that join components, at most one for each of its rows, never its pairs.
 
 An estimate (maximum likelihood over the joint register order) only excludes pairs that
 lie ``MARGIN`` standard deviations below the threshold; the rest are confirmed on the
@@ -29,7 +30,8 @@ from .components import connected_components
 from .workspace import Workspace
 
 MARGIN = 4.5
-BLOCK = 256
+#: Rows of a block of a bucket, and of the strips in which a block's pairs are taken.
+BLOCK, STRIP = 1024, 64
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -106,46 +108,96 @@ def _confirmed(width: int, num: int, den: int):
     return of
 
 
-def _across(threshold: float, num: int, den: int):
-    """Pairs of different components within each (bucket, block, block); its rows come sorted together."""
-    plausible = _plausible(threshold)
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole (key, i, j) blocks; the rows of a block come one after another."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {k: _matrix(batch.column(k)) if k == "sketch" else batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+        if rest is not None:
+            part = {k: np.concatenate([rest[k], part[k]]) for k in part}
+        last = (part["key"] == part["key"][-1]) & (part["i"] == part["i"][-1]) & (part["j"] == part["j"][-1])
+        rest = {k: v[last] for k, v in part.items()}
+        if not last.all():
+            yield {k: v[~last] for k, v in part.items()}
+    if rest is not None:
+        yield rest
+
+
+def _block_pairs(part: dict[str, np.ndarray], threshold: float, num: int, den: int, band_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of different components in one block that may reach the threshold.
 
-    def pairs(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero((np.diff(part["key"]) != 0) | (np.diff(part["i"]) != 0) | (np.diff(part["j"]) != 0)) + 1
-        edges, left, right = np.concatenate([[0], cuts, [len(part["key"])]]), [], []
-        for low, high in zip(edges[:-1], edges[1:]):
-            a, b = np.triu_indices(high - low, 1)
-            a, b = a + low, b + low
-            n, comp, own = part["n"], part["component"], part["own"]
-            some = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
-            if part["i"][low] != part["j"][low]:
-                some &= own[a] != own[b]
-            left.append(a[some])
-            right.append(b[some])
-            if sum(map(len, left)) > 20_000 or high == edges[-1]:
-                a, b = np.concatenate(left), np.concatenate(right)
-                left, right = [], []
-                for s in range(0, len(a), 20_000):
-                    x, y = a[s : s + 20_000], b[s : s + 20_000]
-                    keep = plausible(part["sketch"][x], part["sketch"][y], n[x], n[y])
-                    x, y = part["node"][x[keep]], part["node"][y[keep]]
-                    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+    A pair counts in the first band that both rows share, so it comes up once however
+    many buckets hold it.
+    """
+    plausible, n, component = _plausible(threshold), part["n"], part["component"]
+    cuts = np.flatnonzero((np.diff(part["key"]) != 0) | (np.diff(part["i"]) != 0) | (np.diff(part["j"]) != 0)) + 1
+    edges, left, right, waiting = np.concatenate([[0], cuts, [len(n)]]), [], [], 0
+    strips = [(s, low, high) for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()) for s in range(low, high, STRIP)]
+    for k, (start, low, high) in enumerate(strips):
+        stop = min(start + STRIP, high)
+        a, b = np.repeat(np.arange(start, stop), high - start), np.tile(np.arange(start, high), stop - start)
+        some = (a < b) & (component[a] != component[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
+        if part["i"][low] != part["j"][low]:
+            some &= part["own"][a] != part["own"][b]
+        left.append(a[some])
+        right.append(b[some])
+        waiting += len(left[-1])
+        if waiting > 20_000 or k == len(strips) - 1:
+            a, b = np.concatenate(left), np.concatenate(right)
+            left, right, waiting = [], [], 0
+            for s in range(0, len(a), 20_000):
+                x, y = a[s : s + 20_000], b[s : s + 20_000]
+                p, q = part["sketch"][x], part["sketch"][y]
+                bands = p.shape[1] // band_rows
+                first = (p == q)[:, : bands * band_rows].reshape(-1, bands, band_rows).all(axis=2).argmax(axis=1)
+                own = first == part["band"][x]
+                x, y = x[own], y[own]
+                keep = plausible(p[own], q[own], n[x], n[y])
+                yield x[keep], y[keep]
+
+
+def _promising(threshold: float, num: int, den: int, band_rows: int):
+    """The rows of blocks that belong to a plausible pair; texts are fetched for them alone."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rest = ("key", "i", "j", "own", "node", "component", "n"), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names} | {"sketch": _matrix(batch.column("sketch"))}
-            if rest is not None:
-                part = {k: np.concatenate([rest[k], part[k]]) for k in part}
-            last = (part["key"] == part["key"][-1]) & (part["i"] == part["i"][-1]) & (part["j"] == part["j"][-1])
-            rest = {k: v[last] for k, v in part.items()}
-            if not last.all():
-                yield from pairs({k: v[~last] for k, v in part.items()})
-        if rest is not None:
-            yield from pairs(rest)
+        for part in _whole_blocks(batches):
+            wanted = np.zeros(len(part["n"]), bool)
+            for x, y in _block_pairs(part, threshold, num, den, band_rows):
+                wanted[x] = wanted[y] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v.tobytes() for v in part[k][wanted]], pa.binary()) if k == "sketch" else pa.array(part[k][wanted]) for k in part], names=list(part)
+            )
+
+    return of
+
+
+def _linked(width: int, threshold: float, num: int, den: int, band_rows: int):
+    """Confirmed links between components, each only if those before don't join its ends already."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        for part in _whole_blocks(batches):
+            links: list[tuple[int, int]] = []
+            for x, y in _block_pairs(part, threshold, num, den, band_rows):
+                rows = np.unique(np.concatenate([x, y]))
+                sets = dict(zip(rows.tolist(), _sets(pa.array(part["text"][rows], pa.string()), width)))
+                for a, b in zip(x.tolist(), y.tolist()):
+                    p, q = root(int(part["component"][a])), root(int(part["component"][b]))
+                    if p != q:
+                        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if den * common >= num * (len(sets[a]) + len(sets[b]) - common):
+                            parent[p] = q
+                            links.append((int(part["node"][a]), int(part["node"][b])))
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return of
 
@@ -172,7 +224,7 @@ def near_duplicates(
 
     one = F.min(F.struct("doc_id", "text_hash", "n", "sketch", "bands")).alias("one")
     nodes = work.save(signed.filter("n > 0").groupBy("node").agg(one).select("node", "one.*"), "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     members = work.save(banded.join(buckets, "key"), "members")
 
@@ -192,7 +244,7 @@ def near_duplicates(
     links = confirmed(first.mapInArrow(_estimated(threshold), "a long, b long"), "links-1")
     components = work.save(connected_components(work, links, "first"), "components-1")
 
-    labelled = members.join(components, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(components, "node", "left").select("key", "band", "node", "n", "size", F.coalesce("component", "node").alias("component"))
     labelled = work.save(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -200,12 +252,17 @@ def near_duplicates(
         labelled.join(mixed, "key")
         .withColumn("own", F.when(blocks == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n")
+        .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n")
         .join(sketches.select("node", "sketch"), "node")
     )
-    ranged = ranged.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = ranged.mapInArrow(_across(threshold, num, den), "a long, b long").distinct()
-    more = confirmed(second, "links-2")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    columns = "node long, key long, band int, i int, j int, own int, component long, n long, sketch binary"
+    promising = work.save(dealt(ranged).mapInArrow(_promising(threshold, num, den, band_rows), columns), "promising")
+    more = dealt(promising.join(texts, "node")).mapInArrow(_linked(width, threshold, num, den, band_rows), "a long, b long")
+    more = work.save(more, "links-2")
     final = connected_components(work, links.unionByName(more), "second")
 
     groups = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
