@@ -122,7 +122,8 @@ class IsolationForest:
                 return k
             path.append(0.0)
             feature[k] = int(random.choice(open_))
-            split[k] = float(random.uniform(low[feature[k]], high[feature[k]]))
+            a, b = float(low[feature[k]]), float(high[feature[k]])
+            split[k] = s if a < (s := float(random.uniform(a, b))) <= b else b  # neither side is empty
             less = part[:, feature[k]] < split[k]
             left[k], right[k] = node(part[less], depth + 1), node(part[~less], depth + 1)
             return k
