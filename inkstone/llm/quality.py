@@ -182,8 +182,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_r
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word
     windows.  kept: not base_failed and the anomaly score lies under the threshold.
     labels: doc_id, quality (0 or 1, null rows ignored).  The forest is fitted on
-    ``sample_rows`` of the documents that pass the base limits, those with the least
-    hashes of their ids.  Null or empty texts have no words and fail.  Rows that
+    about ``sample_rows`` of the documents that pass the base limits, drawn by a hash.  Null or empty texts have no words and fail.  Rows that
     repeat an id are judged one by one.  Columns of docs other than doc_id and text are
     ignored; an empty table gives an empty result.
     """
@@ -195,7 +194,10 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_r
 
     labelled = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
     judged = work.save(counted.filter(~base_failed).join(labelled, "doc_id"), "labelled")
-    sampled = [r[:] for r in counted.filter(~base_failed).orderBy(F.xxhash64("doc_id"), *FEATURES).select(*FEATURES).limit(sample_rows).collect()]
+    passed = counted.filter(~base_failed)
+    share = min(1.0, sample_rows / max(1, passed.count()))
+    drawn = passed.filter(F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(1_000_000)) < int(share * 1_000_000))
+    sampled = [r[:] for r in drawn.select(*FEATURES).limit(2 * sample_rows).collect()]  # a guard for repeated rows only
     forest = spark.sparkContext.broadcast(IsolationForest(np.array(sampled, float).reshape(-1, len(FEATURES))))
     step = F.ceil(F.col("anomaly") * GRID).cast("int").alias("step")
     marked = judged.mapInArrow(_scored(forest), f"{schema}, quality int, anomaly double")
