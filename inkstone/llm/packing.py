@@ -2,9 +2,11 @@
 
 Pieces are dealt by hash to partitions of bounded size.  Each is packed best-fit
 decreasing and its number of sequences is compared with a lower bound from dual feasible
-functions.  Partitions with a gap between the two give up their least filled sequences;
-the given-up pieces of several partitions meet in one and are packed again, and so on
-until no gap or one partition is left.  A repacking counts only if it saves a sequence.
+functions.  A partition with a gap between the two, or with others beside it whose gaps
+could be filled together, gives up its least filled sequences; the given-up pieces of
+several partitions meet in one and are packed again, best-fit decreasing and, if that
+leaves a gap, by best-fitting subsets, and so on until one partition is left.  A
+repacking counts only if it saves a sequence.
 """
 
 from __future__ import annotations
@@ -18,36 +20,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textkernel
 from .workspace import Workspace
 
 CAPACITY = 2048
 #: Pieces that one task packs.
 PART_PIECES = 100_000
 #: Sequences that a partition with a gap gives up, and partitions whose given-up pieces meet.
-GIVEN_UP, MEET = 64, 8
+GIVEN_UP, MEET = 256, 8
+#: Given-up pieces up to which the best subset is sought for every sequence.
+SUBSET_PIECES = 20_000
 #: Longer texts, and those with code points from U+0280 on, go through the slower tokenizer library.
 LONG_TEXT, FIRST_RARE_BYTE = 1_000_000, 0xCA
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[tuple[str, str], object] = {}
 
 
-def _encoders(name: str):
-    """The tokenizer, and the same vocabulary in the faster library; loaded once in a worker."""
-    if name not in _LOADED:
-        import base64
+def _tokenizer(name: str):
+    """The tokenizer itself, loaded once in a worker that needs it."""
+    if ("tokenizer", name) not in _LOADED:
         import os
 
         import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _LOADED["tokenizer", name] = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    return _LOADED["tokenizer", name]
+
+
+def _fast(name: str) -> tuple:
+    """(the same vocabulary in the faster library, the strings of special tokens); loaded once in a worker."""
+    if ("fast", name) not in _LOADED:
+        import base64
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[name] = Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), fast
-    return _LOADED[name]
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as text:
+            special = [t["content"] for t in json.load(text)["added_tokens"]]
+        _LOADED["fast", name] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+    return _LOADED["fast", name]
 
 
 def encode(texts: list[str], name: str = "byte_bpe_50k") -> Iterator[np.ndarray]:
@@ -56,13 +71,11 @@ def encode(texts: list[str], name: str = "byte_bpe_50k") -> Iterator[np.ndarray]
     Both libraries give the same ids where their tables of letters agree; what could
     differ (rare code points, the special token's own string) takes the first library.
     """
-    slow, fast = _encoders(name)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    fast, special = _fast(name)
     for text in texts:
-        raw = text.encode()
-        rare = not text.isascii() and bool((np.frombuffer(raw, np.uint8) >= FIRST_RARE_BYTE).any())
+        rare = not text.isascii() and bool((np.frombuffer(text.encode(), np.uint8) >= FIRST_RARE_BYTE).any())
         if rare or len(text) > LONG_TEXT or any(x in text for x in special):
-            yield np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+            yield np.array(_tokenizer(name).encode(text, add_special_tokens=False).ids, "<u4")
         else:
             yield np.array(fast.encode_ordinary(text), "<u4")
 
@@ -120,6 +133,34 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
+def best_subsets(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset): each bin takes the longest piece left and the subset of the rest that fits it best.
+
+    Reachable sums are bit sets, extended piece by piece, long ones first, until the bin is full.
+    """
+    bins, offsets, made = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    left = np.argsort(-lengths, kind="stable").tolist()
+    while left:
+        head, rest = left[0], left[1:]
+        room = capacity - int(lengths[head])
+        within, sums = (1 << (room + 1)) - 1, [1]
+        for k in rest:
+            if sums[-1] >> room & 1:
+                break
+            sums.append((sums[-1] | sums[-1] << int(lengths[k])) & within)
+        want, taken = sums[-1].bit_length() - 1, {}
+        for j in range(len(sums) - 2, -1, -1):
+            if not sums[j] >> want & 1:
+                want -= int(lengths[rest[j]])
+                taken[j] = rest[j]
+        end = 0
+        for k in (head, *taken.values()):
+            bins[k], offsets[k] = made, end
+            end += int(lengths[k])
+        left, made = [k for j, k in enumerate(rest) if j not in taken], made + 1
+    return bins, offsets
+
+
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Least number of bins that dual feasible functions prove necessary.
 
@@ -143,12 +184,16 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return max(best, int((full + halves + spill).max()))
 
 
-def _packed(capacity: int, round_: int, last: bool):
+def _packed(capacity: int, round_: int, last: bool, several: bool):
     def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = part["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         bound, made = lower_bound(lengths, capacity), int(bins.max()) + 1
+        if round_ and made > bound and len(lengths) <= SUBSET_PIECES:
+            other = best_subsets(lengths, capacity)
+            if other[0].max() + 1 < made:
+                bins, offsets, made = *other, int(other[0].max()) + 1
         before = part["sequence_id"].nunique() if round_ else made + 1
         if made < before:
             part["sequence_id"] = (round_ << 56) + (int(key[0]) << 28) + bins
@@ -156,7 +201,7 @@ def _packed(capacity: int, round_: int, last: bool):
         else:
             made = before
         part["open"] = False
-        if made > bound and not last:
+        if not last and (made > bound or several):
             filled = part.groupby("sequence_id")["length"].sum().sort_values(kind="stable")
             worst = filled[filled < capacity].index[:GIVEN_UP]
             part["open"] = part["sequence_id"].isin(worst)
@@ -184,7 +229,7 @@ def pack(spark: SparkSession, docs: DataFrame, *, tokenizer: str = "byte_bpe_50k
     while True:
         last = parts == 1 and round_ > 0
         columns = [*names, "part"]
-        packed = open_.select(columns).groupBy("part").applyInPandas(_packed(capacity, round_, last), schema)
+        packed = open_.select(columns).groupBy("part").applyInPandas(_packed(capacity, round_, last, parts > 1), schema)
         packed = work.save(packed, f"round-{round_}")
         settled = packed.filter("not open").select(names)
         done = settled if done is None else done.unionByName(settled)
