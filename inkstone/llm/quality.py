@@ -164,14 +164,15 @@ def threshold(scores: list[tuple[int, int, int]], keep_good: float = KEEP_GOOD)
     """The grid step of the anomaly score from which documents go.
 
     scores: (grid step, quality, count) of all labelled rows.  Among the thresholds that
-    keep at least ``keep_good`` of the good rows, the one that rejects the most bad less
-    good rows; the highest of equals.  Without bad rows, nothing goes.
+    keep at least ``keep_good`` of the good rows but one (a single odd row of few proves
+    nothing), the one that rejects the most bad less good rows, as shares; the highest of
+    equals.  Without bad rows, nothing goes.
     """
     good, bad = np.zeros(GRID + 2, np.int64), np.zeros(GRID + 2, np.int64)
     for step, quality, count in scores:
         (good if quality else bad)[step] += count
     lost, caught = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
-    gain = np.where(lost <= (1 - keep_good) * good.sum(), caught / max(bad.sum(), 1) - lost / max(good.sum(), 1), -np.inf)
+    gain = np.where(lost <= (1 - keep_good) * good.sum() + 1, caught / max(bad.sum(), 1) - lost / max(good.sum(), 1), -np.inf)
     best = GRID + 1 - int(np.argmax(gain[::-1]))
     return best
 
