@@ -34,13 +34,12 @@ IDENTITY = 80
 #: Items of fewer words are no evidence and never reported: the shortest mask's span.
 LEAST_ITEM = max(MASKS[0]) + 1
 
-_BLANK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _FACTORS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
 def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = textkernel.LOWER[data]
-    begin, end, rows = textkernel.word_bounds(data, starts, _BLANK)
+    begin, end, rows = textkernel.word_bounds(data, starts, textkernel.SIGNS)
     return textkernel.word_hashes(data, begin, end), rows
 
 

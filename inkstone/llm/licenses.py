@@ -9,6 +9,7 @@ its bigrams in the text; templates that miss that bound are not compared at all.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .decontaminate import _BLANK
 from .suffixtree import Lookup
 from .textkernel import U64, mix
 from .workspace import Workspace
@@ -50,7 +50,7 @@ TEMPLATES: dict[str, str] = {
 def _bigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int64 hashes of word bigrams, their rows, the rows' first word positions); a bigram's position is that of its first word."""
     data = textkernel.LOWER[data]
-    begin, end, rows = textkernel.word_bounds(data, starts, _BLANK)
+    begin, end, rows = textkernel.word_bounds(data, starts, textkernel.SIGNS)
     words = textkernel.word_hashes(data, begin, end)
     if len(words) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -98,10 +98,11 @@ class Templates:
                 common, size = len(np.unique(index[hits[j : reach[j]]])), len(np.unique(codes[first:last]))
                 if size * self.threshold <= (2 - self.threshold) * self.size[k] and 2 * common >= self.threshold * (size + self.size[k]):
                     scored.append((-2 * common / (size + int(self.size[k])), first, last, common, size))
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # disjoint and sorted
             for _, first, last, common, size in sorted(scored):
-                if all(last <= a or b <= first for a, b in taken):
-                    taken.append((first, last))
+                at = bisect.bisect_left(taken, (first, last))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
+                    taken.insert(at, (first, last))
                     out.append((int(k), first, last, common, size))
         return sorted(out)
 

@@ -21,6 +21,8 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(20260101)).integers(0, 1 << 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Blanks, signs and other ASCII that is neither letter nor digit.
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

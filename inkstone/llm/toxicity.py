@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .decontaminate import _BLANK
 from .suffixtree import Lookup
 from .textkernel import U64
 from .workspace import Workspace
@@ -45,7 +44,7 @@ CHAIN = (*CATEGORIES, "toxic")
 def _features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(int64 hashes, rows) of words and their beginnings, repeats included."""
     data = textkernel.LOWER[data]
-    begin, end, rows = textkernel.word_bounds(data, starts, _BLANK)
+    begin, end, rows = textkernel.word_bounds(data, starts, textkernel.SIGNS)
     hashes, at = [textkernel.word_hashes(data, begin, end)], [rows]
     for k in PREFIXES:
         longer = end - begin > k
@@ -209,9 +208,9 @@ def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: np.ndarray, width:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 out of fold, between the two scores around it; 0.5 without both classes."""
+    """The cut with the best F1 out of fold, between the two scores around it; without both classes, one that nothing reaches."""
     if not 0 < y.sum() < len(y):
-        return 0.5
+        return float("inf")
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())

@@ -57,7 +57,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
 
 def test_longest_alike():
     same = np.array([0, 1, 1, 1, 0, 1, 1, 0, 0, 0, 1], bool)
-    assert decontaminate.longest_alike(same, 80) == (1, 6)
+    assert decontaminate.longest_alike(same, 80) == (1, 7)  # five of six
     assert decontaminate.longest_alike(np.zeros(4, bool)) == (0, 0)
 
 

@@ -26,13 +26,14 @@ def test_held_out_accuracy(spark):
 
 
 def test_held_out_accuracy_on_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     chain = toxicity.train(spark, docs, labels.filter("doc_id % 3 > 0"))
     found = toxicity.score(spark, chain, docs).join(labels.filter("doc_id % 3 = 0").withColumnRenamed("toxic", "truth"), "doc_id")
     counts = {tuple(r[:2]): r[2] for r in found.groupBy("truth", "toxic").count().collect()}
     assert counts.get((0, True), 0) <= 0.02 * counts[0, False]
-    assert counts.get((1, False), 0) <= 0.3 * counts[1, True]
+    # some texts of this table are labelled toxic without a word that tells
+    assert counts.get((1, False), 0) <= 0.2 * counts[1, True]
 
 
 def test_later_models_use_earlier_predictions():
@@ -52,8 +53,8 @@ def test_out_of_fold_predictions_do_not_see_their_row():
     n = 40
     x = toxicity.Rows(np.arange(n), np.arange(n), n)  # each row's own feature: learnt by heart, useless elsewhere
     y = (np.arange(n) % 2).astype(float)
-    _, held = toxicity.fit_chain(x, {"a": y}, np.arange(n) % 4, n)
-    assert np.abs(held["a"] - 0.5).max() < 0.2
+    _, held = toxicity.fit_chain(x, {"a": y}, np.arange(n) // 2 % 4, n)
+    assert np.abs(held["a"] - 0.5).max() < 0.01
 
 
 def test_linear_model_matches_the_optimum():
@@ -69,7 +70,7 @@ def test_linear_model_matches_the_optimum():
 
 def test_threshold():
     assert toxicity.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 0.5
-    assert toxicity.best_threshold(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
+    assert toxicity.best_threshold(np.array([0.1, 0.2]), np.array([0, 0])) == np.inf
 
 
 def test_odd_rows(spark, odd, empty):
