@@ -78,7 +78,7 @@ def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def graph_keys(nodes: DataFrame) -> DataFrame:
     """key and node columns: every node under its path as given, with forward slashes, and relative."""
-    slashed = F.regexp_replace("path", r"\\\\", "/")
+    slashed = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
     return nodes.filter("path is not null").withColumn("key", F.explode(F.array_distinct(F.array("path", slashed, F.regexp_replace(slashed, "^/+", "")))))
 
 
