@@ -221,31 +221,32 @@ def near_duplicates(
     source = source.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = source.mapInArrow(_signatures(width, band_rows), "doc_id long, text_hash long, n long, node long, sketch binary, bands array<long>")
     signed = work.save(signed, "signatures")
+    n_docs = signed.count()
 
     one = F.min(F.struct("doc_id", "text_hash", "n", "sketch", "bands")).alias("one")
-    nodes = work.save(signed.filter("n > 0").groupBy("node").agg(one).select("node", "one.*"), "nodes")
+    nodes = work.save(signed.filter("n > 0").groupBy("node").agg(one).select("node", "one.*"), "nodes", n_docs)
     banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    members = work.save(banded.join(buckets, "key"), "members")
+    members = work.save(banded.join(buckets, "key"), "members", n_docs)
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     texts = source.join(wanted.hint("shuffle_hash"), (source["doc_id"].eqNullSafe(wanted["doc_id"])) & (source["text_hash"] == wanted["text_hash"])).select("node", "text")
-    texts = work.save(texts, "texts")
+    texts = work.save(texts, "texts", n_docs, 4_000)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         found = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(width, num, den), "a long, b long")
-        return work.save(found, name)
+        return work.save(found, name, n_docs, 5_000)
 
     sketches = nodes.select("node", "n", "sketch")
     first = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     first = first.join(a, "a").join(b, "b").filter(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
     links = confirmed(first.mapInArrow(_estimated(threshold), "a long, b long"), "links-1")
-    components = work.save(connected_components(work, links, "first"), "components-1")
+    components = work.save(connected_components(work, links, "first"), "components-1", n_docs, 100_000)
 
     labelled = members.join(components, "node", "left").select("key", "band", "node", "n", "size", F.coalesce("component", "node").alias("component"))
-    labelled = work.save(labelled, "labelled")
+    labelled = work.save(labelled, "labelled", n_docs)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     ranged = (
@@ -260,15 +261,15 @@ def near_duplicates(
         return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     columns = "node long, key long, band int, i int, j int, own int, component long, n long, sketch binary"
-    promising = work.save(dealt(ranged).mapInArrow(_promising(threshold, num, den, band_rows), columns), "promising")
+    promising = work.save(dealt(ranged).mapInArrow(_promising(threshold, num, den, band_rows), columns), "promising", n_docs, 5_000)
     more = dealt(promising.join(texts, "node")).mapInArrow(_linked(width, threshold, num, den, band_rows), "a long, b long")
-    more = work.save(more, "links-2")
+    more = work.save(more, "links-2", n_docs, 5_000)
     final = connected_components(work, links.unionByName(more), "second")
 
     groups = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = groups.join(final, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = work.save(named.join(least, "component").select("node", "component_id"), "named")
+    named = work.save(named.join(least, "component").select("node", "component_id"), "named", n_docs, 50_000)
     out = signed.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     work.drop("texts", "members", "labelled", "nodes")

@@ -38,8 +38,11 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, rows: int | None = None, per_file: int = 10_000) -> DataFrame:
+        """Write and read again; with about ``rows`` rows known, in no more files than one per ``per_file`` of them."""
         schema = frame.schema
+        if rows is not None:
+            frame = frame.coalesce(max(1, -(-rows // per_file)))
         frame.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
