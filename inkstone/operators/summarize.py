@@ -18,9 +18,13 @@ SENTENCES, LONGEST, TERMS = 3, 10_000, 5000
 
 
 def split(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """doc_id, i, sentence of documents (doc_id, text)."""
+    """doc_id, i, sentence, n (sentences of the document) of documents (doc_id, text), dealt by document.
+
+    All that follows happens within a document, so this shuffle is the only large one.
+    """
     parts = T.head_middle_tail(T.sentences(F.coalesce("text", F.lit(""))), longest)
-    return docs.select("doc_id", F.posexplode(parts).alias("i", "sentence"))
+    cut = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", parts.alias("parts"))
+    return cut.select("doc_id", F.posexplode("parts").alias("i", "sentence"), F.size("parts").alias("n"))
 
 
 def term_weights(sentences: DataFrame, stopwords: Iterable[str] = T.STOPWORDS, terms: int = TERMS) -> DataFrame:
@@ -28,21 +32,20 @@ def term_weights(sentences: DataFrame, stopwords: Iterable[str] = T.STOPWORDS, t
 
     Only a document's ``terms`` most frequent terms count (the first by name of equals).
     """
-    words = sentences.select("doc_id", "i", F.explode(T.sentence_words(F.col("sentence"), stopwords)).alias("term"))
-    counted = words.groupBy("doc_id", "i", "term").agg(F.count("*").alias("tf"))
-    by_term = counted.groupBy("doc_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("cf"), "term")
-    by_term = by_term.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= terms)
-    n = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
-    weighed = counted.join(by_term.select("doc_id", "term", "df"), ["doc_id", "term"]).join(n, "doc_id")
-    raw = weighed.withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    words = sentences.select("doc_id", "i", "n", F.explode(T.sentence_words(F.col("sentence"), stopwords)).alias("term"))
+    counted = words.groupBy("doc_id", "i", "n", "term").agg(F.count("*").alias("tf"))
+    same = Window.partitionBy("doc_id", "term")
+    counted = counted.select("*", F.count("*").over(same).alias("df"), F.sum("tf").over(same).alias("cf"))
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("cf"), "term"))
+    kept = counted.withColumn("place", place).filter(F.col("place") <= terms)
+    raw = kept.withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.select("doc_id", "i", "term", "tf", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id", "i")))).alias("w"))
 
 
 def ranked(sentences: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, i, sentence, score: summed similarity to all sentences of the document, the highest being 1."""
-    whole = weights.groupBy("doc_id", "term").agg(F.sum("w").alias("total"))
-    summed = weights.join(whole, ["doc_id", "term"]).groupBy("doc_id", "i").agg(F.sum(F.col("w") * F.col("total")).alias("sum"))
+    whole = F.sum("w").over(Window.partitionBy("doc_id", "term"))
+    summed = weights.withColumn("total", whole).groupBy("doc_id", "i").agg(F.sum(F.col("w") * F.col("total")).alias("sum"))
     scored = sentences.join(summed, ["doc_id", "i"], "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
     highest = F.max("sum").over(Window.partitionBy("doc_id"))
     return scored.select("doc_id", "i", "sentence", F.when(highest > 0, F.col("sum") / highest).otherwise(0.0).alias("score"))

@@ -440,7 +440,7 @@ summaries as (select doc_id, text, case when len(parts) <= {n} then text else be
 
 @query(f"with {_SENTENCES} select doc_id, cast(i as int) as i, sentence from sentences")
 def sentence_split(spark, sf_dir):
-    return summarize.split(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return summarize.split(_table(spark, sf_dir, "documents")).select("doc_id", "i", "sentence")
 
 
 @query(f"with {_SENTENCES}, {_SENTENCE_WORDS} select doc_id, cast(i as int) as i, count(*) as n_terms, round(sum(w), 6) as weight from weights group by doc_id, i")
