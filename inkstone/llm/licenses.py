@@ -10,6 +10,7 @@ its bigrams in the text; templates that miss that bound are not compared at all.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,9 +79,9 @@ class Templates:
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(template, first, last + 1, common, size) of stretches of one text's bigrams, by template, then place.
 
-        A template's stretches are sought among windows of its own length that begin at
-        one of its bigrams: each is trimmed to its last common bigram and scored.  The best
-        counts (the first of equals), then the best that doesn't overlap it, and so on.
+        A stretch begins and ends with bigrams of its template, since others only lower the
+        coefficient.  The best counts (the first of equals), then the best that doesn't
+        overlap it, and so on.
         """
         index = self.table(codes)
         known = np.flatnonzero(index >= 0)
@@ -88,24 +89,59 @@ class Templates:
             return []
         present = np.zeros(len(self.table.keys), bool)
         present[index[known]] = True
-        out = []
+        out, before = [], _last_places(codes)
         for k in np.flatnonzero((self.member & present).sum(axis=1) >= self.need):
-            hits = known[self.member[k, index[known]]]
-            reach = np.searchsorted(hits, hits + self.size[k])
-            scored = []
-            for j in np.flatnonzero(reach - np.arange(len(hits)) >= self.need[k]):
-                first, last = int(hits[j]), int(hits[reach[j] - 1]) + 1
-                common, size = len(np.unique(index[hits[j : reach[j]]])), len(np.unique(codes[first:last]))
-                if size * self.threshold <= (2 - self.threshold) * self.size[k] and 2 * common >= self.threshold * (size + self.size[k]):
-                    scored.append((-2 * common / (size + int(self.size[k])), first, last, common, size))
+            own = (index >= 0) & self.member[k, index]
+            most = int((self.member[k] & present).sum())
+            hits = np.flatnonzero(own).tolist()
+            scored = [b for a in hits if (b := self._best(k, a, len(codes), own, before, most))]
+            heapq.heapify(scored)
             taken: list[tuple[int, int]] = []  # disjoint and sorted
-            for _, first, last, common, size in sorted(scored):
+            while scored:
+                _, first, last, common, size = heapq.heappop(scored)
                 at = bisect.bisect_left(taken, (first, last))
-                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
-                    taken.insert(at, (first, last))
-                    out.append((int(k), first, last, common, size))
+                if at and taken[at - 1][1] > first or at < len(taken) and taken[at][0] == first:
+                    continue
+                if at < len(taken) and taken[at][0] < last:  # the best from here that ends before
+                    if shorter := self._best(k, first, taken[at][0], own, before, most):
+                        heapq.heappush(scored, shorter)
+                    continue
+                taken.insert(at, (first, last))
+                out.append((int(k), first, last, common, size))
         return sorted(out)
 
+    def _best(self, k: int, first: int, stop: int, own: np.ndarray, before: np.ndarray, most: int) -> tuple[float, int, int, int, int] | None:
+        """(-dice, first, last + 1, common, size) of the best stretch from first that ends by stop, if it is a match.
+
+        own: places of the template's bigrams; before: last places of the same bigram; most:
+        how many of the template's bigrams the text has.
+        """
+        whole = int(self.size[k])
+        limit = int(whole * (2 - self.threshold) / self.threshold + 1e-9)
+        length = limit + 1
+        while True:
+            end = min(first + length, stop)
+            new = before[first:end] < first
+            sizes = np.cumsum(new)
+            at = np.flatnonzero(own[first:end] & new)
+            if end == stop or sizes[-1] > limit or len(at) == most:
+                break
+            length *= 2
+        common, size = np.arange(1, len(at) + 1), sizes[at]
+        j = int(np.argmax(2 * common / (size + whole)))
+        if 2 * common[j] < self.threshold * (size[j] + whole):
+            return None
+        return -2 * int(common[j]) / (int(size[j]) + whole), first, first + int(at[j]) + 1, int(common[j]), int(size[j])
+
+
+def _last_places(codes: np.ndarray) -> np.ndarray:
+    """For every place the last one before it with the same code, or -1."""
+    order = np.argsort(codes, kind="stable")
+    out = np.full(len(codes), -1, np.int64)
+    same = codes[order][1:] == codes[order][:-1]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
 
 def scan(spark: SparkSession, docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_matches, license, dice, matches (array of struct<license, word, n_words, dice>).

@@ -71,3 +71,43 @@ def test_odd_rows(spark, odd, empty):
     assert rows(found, "doc_id") == rows(odd, "doc_id")
     assert not found.filter("n_matches <> 0 or license is not null or size(matches) <> 0").count()
     assert licenses.scan(spark, empty).count() == 0
+
+
+def every(text, template, threshold):
+    """All stretches of a text against one template, the best first, without overlaps."""
+    pairs, own = _pairs(_split(text)), set(_pairs(_split(template)))
+    scored, taken = [], []
+    for first in range(len(pairs)):
+        found, common = set(), 0
+        for last in range(first, len(pairs)):
+            if pairs[last] not in found:
+                found.add(pairs[last])
+                common += pairs[last] in own
+            if 2 * common >= threshold * (len(found) + len(own)):
+                scored.append((-2 * common / (len(found) + len(own)), first, last + 1))
+    for dice, first, last in sorted(scored):
+        if all(last <= a or b <= first for _, a, b in taken):
+            taken.append((dice, first, last))
+    return sorted((first, last - first + 1, round(-dice, 9)) for dice, first, last in taken)
+
+
+def test_same_as_every_stretch(spark):
+    gpl, mit = licenses.TEMPLATES["GPL-3.0-notice"], licenses.TEMPLATES["MIT"]
+    words, half = gpl.split(), len(gpl.split()) // 2
+    inserted = lambda share: " ".join(words[:half] + prose(int(len(words) * share), 9).split() + words[half:])
+    docs = [
+        (1, f"{prose(9, 1)} {inserted(0.2)} {prose(9, 2)}"),
+        (2, inserted(0.3)),
+        (3, inserted(0.6)),
+        (4, f"{gpl} {gpl} {inserted(0.1)} {' '.join(words[:-9])} {gpl}"),
+        (5, f"{prose(20, 3)} {mit}"),
+    ]
+    for name in ("GPL-3.0-notice", "MIT"):
+        own = {name: licenses.TEMPLATES[name]}
+        found = licenses.scan(spark, spark.createDataFrame(docs, "doc_id long, text string"), templates=own).collect()
+        ours = {r["doc_id"]: sorted((m["word"], m["n_words"], round(m["dice"], 9)) for m in r["matches"]) for r in found}
+        assert ours == {d: every(t, own[name], licenses.THRESHOLD) for d, t in docs}
+        if name == "MIT":
+            assert ours[5][0][2] == 1
+        else:
+            assert ours[1] and ours[2] and not ours[3] and len(ours[4]) > 1
