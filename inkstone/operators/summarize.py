@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Sentences of a summary, sentences from which a text is cut to head, middle and tail, terms of a document.
+#: Sentences of a summary, sentences from which a text to be summarised is cut to head, middle and tail, terms of a document.
 SENTENCES, LONGEST, TERMS = 3, 10_000, 5000
 
 
-def split(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+def split(docs: DataFrame, longest: int | None = None) -> DataFrame:
     """doc_id, i, sentence, n (sentences of the document) of documents (doc_id, text), dealt by document.
 
+    Only with ``longest`` are texts of more sentences cut to head, middle and tail.
     All that follows happens within a document, so this shuffle is the only large one.
     """
-    parts = T.head_middle_tail(T.sentences(F.coalesce("text", F.lit(""))), longest)
+    parts = T.sentences(F.coalesce("text", F.lit("")))
+    if longest is not None:
+        parts = T.head_middle_tail(parts, longest)
     cut = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", parts.alias("parts"))
     return cut.select("doc_id", F.posexplode("parts").alias("i", "sentence"), F.size("parts").alias("n"))
 
@@ -54,9 +57,11 @@ def ranked(sentences: DataFrame, weights: DataFrame) -> DataFrame:
 def summaries(docs: DataFrame, n: int = SENTENCES, stopwords: Iterable[str] = T.STOPWORDS) -> DataFrame:
     """doc_id, summary: the n best sentences in text order; a text of no more sentences stays whole.
 
+    Texts of more than ``LONGEST`` sentences are cut to head, middle and tail.
+
     Of equal scores (to nine places) the later sentence counts as better.
     """
-    found = split(docs)
+    found = split(docs, LONGEST)
     scored = ranked(found, term_weights(found, stopwords))
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), F.desc("i"))
     best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)

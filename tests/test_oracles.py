@@ -43,3 +43,15 @@ def test_same_rows_as_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+def test_all_sentences_of_a_very_long_text(spark, tmp_path):
+    text = " ".join(f"Sentence {k} ends here." for k in range(12_000))
+    spark.createDataFrame([(1, text), (2, "One here. Two there.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("sentence_split", "sentence_tfidf", "sentence_rank"):
+        found = QUERIES[name](spark, str(tmp_path))
+        result = connection.execute(ORACLES[name])
+        assert _rows(found.columns, [tuple(r) for r in found.collect()]) == _rows([d[0] for d in result.description], result.fetchall())
+        assert name != "sentence_split" or found.count() == 12_002
