@@ -72,13 +72,59 @@ def test_method_finds_what_the_base_misses(spark):
     assert found[103] == ""
 
 
+def _planted(rng):
+    """(kind or None for a decoy, text) of one thing that no base pattern matches."""
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    name, host, tld = rng.choice(["ana", "john", "mary.lee", "k_weber", "rui"]), rng.choice(["mail", "example", "corp-site", "inbox"]), rng.choice(["com", "org", "de", "net"])
+    area = str(rng.integers(200, 999))
+    which = rng.integers(12)
+    if which < 3:
+        return "email", (f"{name} at {host} dot {tld}", f"{name}[at]{host}[dot]{tld}", f"{name} (at) {host} (dot) {tld}")[which]
+    if which < 5:
+        parts = [f"{rng.integers(1, 65536):x}" for _ in range(7)]
+        return "ip", ("2001:" + ":".join(parts), "fe80::" + ":".join(parts[:4]))[which - 3]
+    if which == 5:
+        body = "4" + digits(14)
+        body += next(d for d in "0123456789" if pii.luhn(body + d))
+        return "card", ".".join(body[k : k + 4] for k in (0, 4, 8, 12))
+    if which < 8:
+        return "phone", (f"{area}-{rng.integers(200, 999)}-{digits(4)}", f"({area}) {rng.integers(200, 999)}-{digits(4)}")[which - 6]
+    return None, (f"version {digits(3)} {digits(3)} {digits(4)}", f"isbn {digits(3)}-{digits(3)}-{digits(4)}", f"at {digits(2)}:{digits(2)}:{digits(2)} sharp", f"look at the dot {tld}")[which - 8]
+
+
+def test_recall_and_precision_of_planted_spans(spark):
+    rng = np.random.default_rng(7)
+    docs, truth = [], {}
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("length(text) < 4000").orderBy("doc_id").collect():
+        text = r["text"]
+        if rng.random() < 0.15:
+            kind, planted = _planted(rng)
+            text = f"{text}\n{planted}"
+            truth[r["doc_id"]] = (kind, len(text) - len(planted), len(text), text)
+        docs.append((r["doc_id"], text))
+    found = {r["doc_id"]: r for r in pii.digests(pii.find(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(8))).collect()}
+    for kind in pii.KINDS:
+        own = {d: t for d, t in truth.items() if t[0] == kind}
+        hit = sum(f"{kind}:{a}:{b}" in found[d]["spans"].split(",") for d, (_, a, b, _) in own.items())
+        assert len(own) > 40 and hit >= 0.9 * len(own), (kind, hit, len(own))
+        added = [d for d, (_, a, b, text) in truth.items() for s in set(found[d]["spans"].split(",")) - {f"{k}:{x}:{y}" for k, x, y in brute(text)} if s.startswith(f"{kind}:") and int(s.split(":")[1]) >= a]
+        assert sum(truth[d][0] == kind for d in added) >= 0.95 * len(added), (kind, added)
+    for d, (_, _, _, text) in truth.items():
+        assert found[d]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(text)).encode()).hexdigest()
+
+
+def test_spans_beyond_the_base_in_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert pii.find(spark, docs).filter("size(spans) > size(base)").count() > 0
+
+
 def test_expectation_maximisation_recovers_reliabilities():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.4
     right = np.stack([rng.random(20_000) < p for p in (0.95, 0.8, 0.7)], axis=1)
     votes = np.where(right == truth[:, None], 2, 0)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    posterior, table, prior = pii.expectation_maximisation(patterns, counts.astype(float))
+    posterior, table, prior = pii.expectation_maximisation(patterns, counts.astype(float), (0.6, 0.6, 0.6))
     assert abs(prior - 0.4) < 0.03
     assert np.abs(np.array([table[1, j, 2] for j in range(3)]) - [0.95, 0.8, 0.7]).max() < 0.03
 
