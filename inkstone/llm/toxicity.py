@@ -3,6 +3,7 @@
 The categories are predicted one after another; each model sees the words of a text and
 the probabilities of the categories before it.  In training those probabilities are
 out-of-fold predictions, so a later model learns from what it will meet when scoring.
+The features of a fold's models are chosen without the fold as well.
 
 Features are the words of a text and their first letters, each present or absent, so a
 word's other forms count as well and one word in a long text weighs as much as in a short one.
@@ -25,10 +26,11 @@ from .workspace import Workspace
 
 #: Labelled rows that the models are fitted on (about: rows are drawn by hash), features they use, and folds.
 SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 2048, 5
-#: Labelled toxic rows that a feature must be in.
-LEAST_ROWS = 4
-#: Times the share of toxic rows at large that a feature's rows must be toxic at.
-LIFT = 3.0
+#: Labelled rows of the class that a feature speaks for that it must be in, the odds ratio between the classes
+#: that it must have, and the least root of the likelihood ratio, which is near to standard errors.
+LEAST_ROWS, ODDS, SIGMAS = 4, 3.0, 3.5
+#: Probabilities are put on this grid for the threshold.
+GRID = 2000
 #: Bytes of the beginnings of words that are features beside whole words.
 PREFIXES = (4, 5, 6)
 
@@ -53,6 +55,14 @@ def _features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes).view(np.int64), np.concatenate(at)
 
 
+#: Rows of a feature by fold, clean and toxic in turn.
+TALLIES = tuple(f"n{k}" for k in range(2 * FOLDS))
+
+
+def _folds(ids: np.ndarray) -> np.ndarray:
+    return (textkernel.mix(ids.astype(np.int64).view(U64)) % U64(FOLDS)).astype(np.int64)
+
+
 def _word_hash(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
     return int(textkernel.word_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
@@ -67,24 +77,36 @@ def _present(features: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and toxic rows of each feature, summed over a task."""
-    totals: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Clean and toxic rows of each feature by fold, summed over a task."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([t[0] for t in totals]), return_inverse=True)
-        return keys, *(np.bincount(inverse, weights=np.concatenate([t[k] for t in totals]), minlength=len(keys)).astype(np.int64) for k in (1, 2))
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.zeros((len(keys), 2 * FOLDS), np.int32)
+        np.add.at(counts, inverse, np.concatenate([c for _, c in parts]))
+        return keys, counts
+
+    def given(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), *(pa.array(c, pa.int64()) for c in counts[k : k + 100_000].T)], names=["feature", *TALLIES])
 
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy()
+        group = _folds(batch.column("doc_id").to_numpy()) * 2 + batch.column("toxic").to_numpy()
         for first, data, starts in textkernel.text_slices(batch.column("text")):
             features, rows = _present(*_features(data, starts))
-            totals.append((features, np.ones(len(features)), toxic[first + rows]))
-            if sum(len(t[0]) for t in totals) > 4_000_000:
-                totals = [merged()]
-    if totals:
-        columns = merged()
-        for k in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["feature", "n_rows", "n_toxic"])
+            keys, inverse = np.unique(features, return_inverse=True)
+            counts = np.bincount(inverse * 2 * FOLDS + group[first + rows], minlength=len(keys) * 2 * FOLDS)
+            parts.append((keys, counts.reshape(-1, 2 * FOLDS).astype(np.int32)))
+            held += len(keys)
+            if held > 500_000:
+                parts = [merged()]
+                held = len(parts[0][0])
+                if held > 250_000:
+                    yield from given(*parts[0])
+                    parts, held = [], 0
+    if parts:
+        yield from given(*merged())
 
 
 def _vectors(table: Lookup, lexicon: dict[str, np.ndarray]):
@@ -188,69 +210,119 @@ class Chain:
         return out
 
 
-def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: np.ndarray, width: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """(weights, out-of-fold probabilities) by category; each category after the first sees those before it out of fold."""
+def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: np.ndarray, width: int, chosen: dict[int, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(weights, out-of-fold probabilities) by category; each category after the first sees those before it out of fold.
+
+    chosen: flags of the features for the models without a fold, and under -1 for the last
+    models; all features where there is none.
+    """
     weights: dict[str, np.ndarray] = {}
     outside: dict[str, np.ndarray] = {}
+
+    def of(rows: Rows, fold: int) -> Rows:
+        if chosen is None:
+            return rows
+        some = chosen[fold][rows.features]
+        return Rows(rows.features[some], rows.rows[some], rows.n)
+
     for name, y in labels.items():
         extra = np.stack([logit(p) for p in outside.values()], axis=1) if outside else np.zeros((x.n, 0))
         held = np.zeros(x.n)
-        for fold in np.unique(folds):
+        for fold in np.unique(folds).tolist():
             out = folds == fold
             if out.all():
                 held[:] = y.mean()
                 continue
-            w = fit_linear(x.take(~out), extra[~out], y[~out], width)
-            held[out] = _sigmoid(x.take(out).dot(w[:width]) + extra[out] @ w[width:-1] + w[-1])
-        weights[name] = fit_linear(x, extra, y, width)
+            w = fit_linear(of(x.take(~out), fold), extra[~out], y[~out], width)
+            held[out] = _sigmoid(of(x.take(out), fold).dot(w[:width]) + extra[out] @ w[width:-1] + w[-1])
+        weights[name] = fit_linear(of(x, -1), extra, y, width)
         outside[name] = held
     return weights, outside
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 out of fold, between the two scores around it; without both classes, one that nothing reaches."""
-    if not 0 < y.sum() < len(y):
+def best_threshold(scores: list[tuple[float, int, int]]) -> float:
+    """The cut with the best mean of both classes' F1, half way between the probabilities around it; without both classes, one that nothing reaches.
+
+    scores: (probability, toxic, rows).
+    """
+    p = np.unique([s[0] for s in scores])
+    clean, toxic = np.zeros(len(p)), np.zeros(len(p))
+    for value, label, n in scores:
+        (toxic if label else clean)[np.searchsorted(p, value)] += n
+    if not (clean.sum() and toxic.sum()):
         return float("inf")
-    order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.concatenate([p[order][1:] != p[order][:-1], [True]])
-    k = int(np.argmax(np.where(last, f1, -1)))
-    below = p[order][k + 1] if k + 1 < len(y) else 0.0
-    return float((p[order][k] + below) / 2)
+    hit, all_ = np.cumsum(toxic[::-1])[::-1], np.cumsum((toxic + clean)[::-1])[::-1]
+    n, left = clean.sum() + toxic.sum(), toxic.sum() - hit
+    spared = n - all_ - left
+    f1 = hit / (all_ + toxic.sum()) + spared / (n - all_ + clean.sum())
+    k = len(p) - 1 - int(np.argmax(f1[::-1]))
+    return float((p[k] + (p[k - 1] if k else 0.0)) / 2)
+
+
+def _chosen(tallied: DataFrame, number: int) -> dict[int, np.ndarray]:
+    """Features for the models without each fold, and under -1 without none: those that tell the classes apart best, for or against."""
+    totals = tallied.filter("feature is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TALLIES)).first()
+    out = {}
+    for fold in (-1, *range(FOLDS)):
+        seen = [k for k in range(2 * FOLDS) if k // 2 != fold]
+        clean, toxic = (sum((F.col(TALLIES[k]) for k in seen if k % 2 == side), F.lit(0)) for side in (0, 1))
+        n_clean, n_toxic = (sum(totals[k] for k in seen if k % 2 == side) for side in (0, 1))
+        odds = F.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - F.log((clean + 0.5) / (n_clean - clean + 0.5))
+        n, both = max(n_clean + n_toxic, 1), clean + toxic
+        cells = [(toxic, n_toxic, both), (clean, n_clean, both), (n_toxic - toxic, n_toxic, n - both), (n_clean - clean, n_clean, n - both)]
+        ratio = 2 * sum(F.when(seen_ > 0, seen_ * F.log(seen_ * n / F.greatest(of_ * F.lit(side), F.lit(1e-9)))).otherwise(0.0) for seen_, side, of_ in cells)
+        speaks = F.when(odds > 0, toxic).otherwise(clean)
+        rated = tallied.filter("feature is not null").select("feature", odds.alias("odds"), F.sqrt(F.greatest(ratio, F.lit(0.0))).alias("z"), speaks.alias("speaks"))
+        best = rated.filter((F.col("speaks") >= LEAST_ROWS) & (F.abs("odds") >= float(np.log(ODDS))) & (F.col("z") >= SIGMAS)).orderBy(F.desc("z"), "feature").limit(number)
+        out[fold] = best.select("feature").toArrow()["feature"].to_numpy().astype(np.int64)
+    return out
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Chain:
     """Fit the chain on about ``sample_rows`` labelled documents, drawn by a hash of their ids.
 
     labels: doc_id, toxic (0 or 1; null rows ignored, an id labelled twice counts as toxic if
-    it ever is).
+    it ever is).  Features are counted, and the threshold is chosen, on all labelled
+    documents: rows of the sample count with their out-of-fold probability, the others,
+    which no model has seen, with the chain's own.
     """
     work = Workspace(spark, "toxicity")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = work.save(texts.join(drawn, "doc_id").select("doc_id", "toxic", "text"), "sample")
-    tallied = sample.mapInArrow(_tallied, "feature long, n_rows long, n_toxic long").groupBy("feature").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_toxic").alias("n_toxic"))
-    n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    inside, outside = F.col("n_toxic"), F.col("n_rows") - F.col("n_toxic")
-    odds = F.log((inside + 0.5) / (bad - inside + 0.5)) - F.log((outside + 0.5) / ((n - bad) - outside + 0.5))
-    error = F.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
-    lifted = inside * max(n, 1) >= LIFT * bad * F.col("n_rows")
-    best = tallied.filter((inside >= LEAST_ROWS) & lifted).select("feature", (odds / error).alias("z")).filter("z > 3").orderBy(F.desc("z"), "feature").limit(features)
-    table = Lookup(best.select("feature").toArrow()["feature"].to_numpy().astype(np.int64))
+    labelled = work.save(texts.join(known, "doc_id").select("doc_id", "toxic", "text"), "labelled")
+    rows_of = [F.count_if((F.expr(f"pmod(fold, {FOLDS})") == k // 2) & (F.col("toxic") == k % 2)).alias(c) for k, c in enumerate(TALLIES)]
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_folds(batch.column("doc_id").to_numpy())), batch.column("toxic")], names=["fold", "toxic"])
+
+    totals = labelled.select("doc_id", "toxic").mapInArrow(folded, "fold long, toxic int").agg(*rows_of).select(F.lit(None).cast("long").alias("feature"), *TALLIES)
+    tallied = labelled.mapInArrow(_tallied, "feature long, " + ", ".join(f"{c} long" for c in TALLIES)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in TALLIES))
+    # features too rare for either class are dropped before they are written
+    tallied = tallied.filter(f"greatest({' + '.join(TALLIES[0::2])}, {' + '.join(TALLIES[1::2])}) >= {LEAST_ROWS}")
+    chosen = _chosen(work.save(tallied.unionByName(totals), "tallied"), features)
+    table = Lookup(np.unique(np.concatenate(list(chosen.values()))))
+    flags = {}
+    for fold, own in chosen.items():
+        flags[fold] = np.zeros(len(table.keys), bool)
+        flags[fold][table(own)] = True
     lexicon = {name: np.array([_word_hash(w) for w in words], np.int64) for name, words in CATEGORIES.items()}
     schema = "doc_id long, toxic int, features array<long>, " + ", ".join(f"{c} boolean" for c in CATEGORIES)
-    rows = sample.mapInArrow(_vectors(table, lexicon), schema).orderBy("doc_id").toArrow()
+    rows = labelled.filter(drawn).mapInArrow(_vectors(table, lexicon), schema).orderBy("doc_id", "toxic", "features").toArrow()
     lists = rows["features"].combine_chunks()
     x = Rows(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy().astype(np.int64)), len(rows))
     toxic = rows["toxic"].to_numpy().astype(float)
     by_category = {c: toxic * rows[c].to_numpy(zero_copy_only=False).astype(float) for c in CATEGORIES} | {"toxic": toxic}
-    folds = (textkernel.mix(rows["doc_id"].to_numpy().astype(np.int64).view(U64)) % U64(FOLDS)).astype(int)
-    weights, held = fit_chain(x, by_category, folds, len(table.keys))
-    work.drop("sample")
-    return Chain(table, weights, best_threshold(held["toxic"], toxic))
+    weights, held = fit_chain(x, by_category, _folds(rows["doc_id"].to_numpy()), len(table.keys), flags)
+    chain = Chain(table, weights, float("inf"))
+    step = F.round(F.col("toxicity") * GRID).cast("int").alias("step")
+    scored = score(spark, chain, labelled.filter(~drawn)).select("doc_id", step).join(known, "doc_id")
+    others = [(r["step"] / GRID, r["toxic"], r["count"]) for r in scored.groupBy("step", "toxic").count().collect()]
+    chain.threshold = best_threshold(others + [(round(p * GRID) / GRID, int(t), 1) for p, t in zip(held["toxic"].tolist(), toxic.tolist())])
+    work.drop("labelled", "tallied")
+    return chain
 
 
 def score(spark: SparkSession, chain: Chain, docs: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from inkstone.llm import toxicity
 
@@ -69,8 +71,68 @@ def test_linear_model_matches_the_optimum():
 
 
 def test_threshold():
-    assert toxicity.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 0.5
-    assert toxicity.best_threshold(np.array([0.1, 0.2]), np.array([0, 0])) == np.inf
+    assert toxicity.best_threshold([(0.1, 0, 1), (0.2, 0, 1), (0.8, 1, 1), (0.9, 1, 1)]) == 0.5
+    assert toxicity.best_threshold([(0.1, 0, 1), (0.2, 0, 1)]) == np.inf
+    assert toxicity.best_threshold([(0.1, 0, 9), (0.5, 1, 2), (0.5, 0, 1), (0.9, 1, 5)]) == 0.3
+
+
+@pytest.mark.parametrize("percent", [2, 12, 50, 80])
+def test_any_share_of_toxic_labels(spark, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    classes = [[r["doc_id"] for r in labels if r["toxic"] == side] for side in (0, 1)]
+    # half of the toxic rows are held out; as many clean ones as the share asks for, or the other way round
+    toxic = classes[1][::2]
+    n_clean = round(len(toxic) * (100 - percent) / percent)
+    if n_clean > len(classes[0]) // 2:
+        n_clean = len(classes[0]) // 2
+        toxic = toxic[: round(n_clean * percent / (100 - percent))]
+    clean = classes[0][::2][:n_clean]
+    train = spark.createDataFrame([(d, 1) for d in toxic] + [(d, 0) for d in clean], "doc_id long, toxic int")
+    chain = toxicity.train(spark, docs, train)
+    said = {r["doc_id"]: r["toxic"] for r in toxicity.score(spark, chain, docs).collect()}
+    caught, false = (np.mean([said[d] for d in side[1::2]]) for side in (classes[1], classes[0]))
+    # the fewer clean rows there are, the less is known of them
+    assert false <= {2: 0.03, 12: 0.03, 50: 0.06, 80: 0.15}[percent] and caught >= {2: 0.5, 12: 0.75, 50: 0.75, 80: 0.65}[percent], (percent, caught, false)
+
+
+def _plain_fit(x, y, ridge=0.1):
+    """Dense Newton steps to the optimum; the last column is the constant."""
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        w = w - step / max(1, np.abs(step).max() / 3)
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def test_chain_same_as_brute_force():
+    rng = np.random.default_rng(5)
+    n, width = 90, 7
+    dense = (rng.random((n, width)) < 0.35).astype(float)
+    a = (dense @ rng.normal(size=width) + rng.logistic(size=n) > 0).astype(float)
+    b = (dense @ rng.normal(size=width) + 2 * a + rng.logistic(size=n) > 1).astype(float)
+    folds = np.arange(n) % 5
+    flags = {f: rng.random(width) < 0.8 for f in (-1, *range(5))}
+    at, features = np.nonzero(dense)
+    weights, held = toxicity.fit_chain(toxicity.Rows(features, at, n), {"a": a, "b": b}, folds, width, flags)
+    chain = toxicity.Chain(toxicity.Lookup(np.arange(width) << 50), weights, 0.5)
+    ours = chain.probabilities(toxicity.Rows(features, at, n))
+    earlier, outside, seen = np.zeros((n, 0)), np.zeros((n, 0)), {}
+    for name, y in (("a", a), ("b", b)):
+        own = np.zeros(n)
+        for f in range(5):
+            x = np.concatenate([dense * flags[f], outside, np.ones((n, 1))], axis=1)
+            w = _plain_fit(x[folds != f], y[folds != f])
+            own[folds == f] = 1 / (1 + np.exp(-x[folds == f] @ w))
+        w = _plain_fit(np.concatenate([dense * flags[-1], outside, np.ones((n, 1))], axis=1), y)
+        seen[name] = 1 / (1 + np.exp(-np.concatenate([dense * flags[-1], earlier, np.ones((n, 1))], axis=1) @ w))
+        assert np.abs(held[name] - own).max() < 1e-3 and np.abs(ours[name] - seen[name]).max() < 1e-3
+        earlier = np.concatenate([earlier, toxicity.logit(seen[name])[:, None]], axis=1)
+        outside = np.concatenate([outside, toxicity.logit(own)[:, None]], axis=1)
 
 
 def test_odd_rows(spark, odd, empty):
