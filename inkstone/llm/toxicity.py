@@ -29,6 +29,8 @@ SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 2048, 5
 #: Labelled rows of the class that a feature speaks for that it must be in, the odds ratio between the classes
 #: that it must have, and the least root of the likelihood ratio, which is near to standard errors.
 LEAST_ROWS, ODDS, SIGMAS = 4, 3.0, 3.5
+#: Labelled rows whose ids and labels are sent to the executors (9 bytes each); more are joined by a shuffle.
+LABELS_SENT = 4_000_000
 #: Probabilities are put on this grid for the threshold.
 GRID = 2000
 #: Bytes of the beginnings of words that are features beside whole words.
@@ -259,6 +261,28 @@ def best_threshold(scores: list[tuple[float, int, int]]) -> float:
     return float((p[k] + (p[k - 1] if k else 0.0)) / 2)
 
 
+def _labelled(spark: SparkSession, texts: DataFrame, known: DataFrame, number: int) -> DataFrame:
+    """doc_id, toxic, text of the documents with a label."""
+    if number > LABELS_SENT:
+        return texts.join(known, "doc_id").select("doc_id", "toxic", "text")
+    table = known.toArrow()
+    ids, toxic = table["doc_id"].to_numpy().astype(np.int64), table["toxic"].to_numpy().astype(np.int8)
+    order = np.argsort(ids)
+    sent = spark.sparkContext.broadcast((ids[order], toxic[order]))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toxic = sent.value
+        for batch in batches:
+            if len(ids):
+                own = batch.column("doc_id").fill_null(0).to_numpy()
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                some = np.flatnonzero((ids[at] == own) & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
+                taken = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([taken.column("doc_id"), pa.array(toxic[at[some]].astype(np.int32)), taken.column("text")], names=["doc_id", "toxic", "text"])
+
+    return texts.mapInArrow(of, "doc_id long, toxic int, text string")
+
+
 def _chosen(tallied: DataFrame, number: int) -> dict[int, np.ndarray]:
     """Features for the models without each fold, and under -1 without none: those that tell the classes apart best, for or against."""
     totals = tallied.filter("feature is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TALLIES)).first()
@@ -288,10 +312,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_row
     """
     work = Workspace(spark, "toxicity")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, sample_rows / max(1, known.count()))
+    number = known.count()
+    share = min(1.0, sample_rows / max(1, number))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = work.save(texts.join(known, "doc_id").select("doc_id", "toxic", "text"), "labelled")
+    labelled = work.save(_labelled(spark, texts, known, number), "labelled")
     rows_of = [F.count_if((F.expr(f"pmod(fold, {FOLDS})") == k // 2) & (F.col("toxic") == k % 2)).alias(c) for k, c in enumerate(TALLIES)]
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

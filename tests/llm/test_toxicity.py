@@ -144,3 +144,13 @@ def test_odd_rows(spark, odd, empty):
     assert toxicity.score(spark, chain, empty).count() == 0
     blank = toxicity.train(spark, odd, labels.filter("false"))
     assert not toxicity.score(spark, blank, odd).filter("toxic").count()
+
+
+def test_labels_sent_or_joined_give_the_same(spark, monkeypatch):
+    docs, labels = _corpus(300)
+    frame, known = spark.createDataFrame([*docs, (None, "idiot"), (0, "moron idiot")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = []
+    for number in (10**6, 0):
+        monkeypatch.setattr(toxicity, "LABELS_SENT", number)
+        found.append(rows(toxicity.score(spark, toxicity.train(spark, frame, known), frame), "doc_id", "toxicity", "toxic"))
+    assert len(found[0]) == 302 and all(a[::2] == b[::2] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(*found))
