@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
@@ -177,34 +177,76 @@ def threshold(scores: list[tuple[int, int, int]], keep_good: float = KEEP_GOOD)
     return best
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, keep_good: float = KEEP_GOOD) -> DataFrame:
-    """Per document: doc_id, COUNTS, base_failed, kept, anomaly, FEATURES.
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
-    base_failed: fewer than 50 words, or more than half of the words in repeated 3-word
-    windows.  kept: not base_failed and the anomaly score lies under the threshold.
-    labels: doc_id, quality (0 or 1, null rows ignored).  The forest is fitted on
-    about ``sample_rows`` of the documents that pass the base limits, drawn by a hash.  Null or empty texts have no words and fail.  Rows that
-    repeat an id are judged one by one.  Columns of docs other than doc_id and text are
-    ignored; an empty table gives an empty result.
-    """
-    work = Workspace(spark, "quality")
+
+def _statistics(docs: DataFrame, work: Workspace) -> tuple[DataFrame, str]:
+    """(doc_id, COUNTS and FEATURES of every row, their schema)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in FEATURES])
-    counted = work.save(texts.mapInArrow(_counted, schema), "statistics")
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return work.save(texts.mapInArrow(_counted, schema), "statistics"), schema
 
+
+def _fitted(spark: SparkSession, counted: DataFrame, labels: DataFrame, work: Workspace, sample_rows: int, keep_good: float, schema: str):
+    """(broadcast forest, grid step from which documents go) for statistics of documents.
+
+    The sample is what a hash of id and statistics draws, in the order of that hash, so
+    neither files nor partitions matter.
+    """
     labelled = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    judged = work.save(counted.filter(~base_failed).join(labelled, "doc_id"), "labelled")
-    passed = counted.filter(~base_failed)
-    share = min(1.0, sample_rows / max(1, passed.count()))
-    drawn = passed.filter(F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(1_000_000)) < int(share * 1_000_000))
-    sampled = [r[:] for r in drawn.select(*FEATURES).limit(2 * sample_rows).collect()]  # a guard for repeated rows only
+    passed = counted.filter(~_base_failed())
+    judged = work.save(passed.join(labelled, "doc_id"), "labelled")
+    order = F.xxhash64("doc_id", *FEATURES)
+    share = min(1.0, 1.1 * sample_rows / max(1, passed.count()))
+    drawn = passed.select(order.alias("order"), *FEATURES).filter(F.pmod("order", F.lit(1_000_000)) < int(share * 1_000_000))
+    sampled = [r[1:] for r in drawn.orderBy("order", *FEATURES).limit(sample_rows).collect()]
     forest = spark.sparkContext.broadcast(IsolationForest(np.array(sampled, float).reshape(-1, len(FEATURES))))
     step = F.ceil(F.col("anomaly") * GRID).cast("int").alias("step")
     marked = judged.mapInArrow(_scored(forest), f"{schema}, quality int, anomaly double")
     limit = threshold([r[:] for r in marked.groupBy(step, "quality").count().collect()], keep_good)
+    work.drop("labelled")
+    return forest, limit
+
+
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, keep_good: float = KEEP_GOOD) -> DataFrame:
+    """Per document: doc_id, COUNTS, base_failed, kept, anomaly, FEATURES.
 
+    base_failed: fewer than 50 words, or more than half of the words in repeated 3-word
+    windows.  kept: not base_failed and the anomaly score lies under the threshold.
+    labels: doc_id, quality (0 or 1, null rows ignored).  The forest is fitted on at most
+    ``sample_rows`` of the documents that pass the base limits, drawn by a hash.  Null or
+    empty texts have no words and fail.  Rows that repeat an id are judged one by one.
+    Columns of docs other than doc_id and text are ignored; an empty table gives an empty
+    result.
+    """
+    work = Workspace(spark, "quality")
+    counted, schema = _statistics(docs, work)
+    forest, limit = _fitted(spark, counted, labels, work, sample_rows, keep_good, schema)
     scored = counted.mapInArrow(_scored(forest), f"{schema}, anomaly double")
-    failed = base_failed.alias("base_failed")
-    kept = (~base_failed & (F.ceil(F.col("anomaly") * GRID) < limit)).alias("kept")
-    return scored.select("doc_id", *COUNTS, failed, kept, "anomaly", *FEATURES)
+    kept = (~_base_failed() & (F.ceil(F.col("anomaly") * GRID) < limit)).alias("kept")
+    return scored.select("doc_id", *COUNTS, _base_failed().alias("base_failed"), kept, "anomaly", *FEATURES)
+
+
+def good(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, keep_good: float = KEEP_GOOD) -> DataFrame:
+    """The rows of docs (all their columns) that ``quality`` keeps.
+
+    Every row is judged by its own text, whatever its id, where it lies: texts are not
+    shuffled, their statistics are made again instead.
+    """
+    work = Workspace(spark, "quality")
+    counted, schema = _statistics(docs, work)
+    forest, limit = _fitted(spark, counted, labels, work, sample_rows, keep_good, schema)
+    work.drop("statistics")
+    at = docs.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for first, data, starts in textkernel.text_slices(batch.column(at).cast(pa.string())):
+                counts, ratios = statistics(data, starts)
+                n_words, repeats = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
+                keep[first : first + len(counts)] = (n_words >= 50) & (100 * repeats <= 50 * n_words) & (np.ceil(forest.value.score(ratios) * GRID) < limit)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(of, docs.schema)

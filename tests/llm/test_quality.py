@@ -76,3 +76,18 @@ def test_threshold():
     assert quality.threshold([(100, 1, 100), (900, 1, 3), (300, 0, 9)]) == quality.GRID + 1
     assert quality.threshold([(100, 1, 5)]) == quality.GRID + 1
     assert quality.threshold([]) == quality.GRID + 1
+
+
+def test_same_for_any_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = [rows(quality.quality(spark, docs.repartition(n), labels, sample_rows=200), "doc_id", "anomaly", "kept") for n in (1, 7, 13)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_good_rows_are_those_kept(spark, odd):
+    labels = spark.createDataFrame([(3, 1), (6, None), (None, 0)], "doc_id long, quality int")
+    kept = quality.good(spark, odd, labels)
+    assert kept.schema == odd.schema
+    assert rows(kept, "doc_id") == rows(quality.quality(spark, odd, labels).filter("kept"), "doc_id")
+    assert quality.good(spark, odd.filter("false"), labels).count() == 0
