@@ -1,7 +1,7 @@
 """Near-duplicate documents: SetSketch registers, banding, joint likelihood, exact confirmation.
 
-Every distinct shingle set becomes one node; copies of a set stay attached to it and
-are never paired with each other.  Nodes whose registers agree in a whole band share a
+Every distinct shingle set becomes one node, told apart by 128 bits of its digest; copies
+of a set stay attached to it and are never paired with each other.  Nodes whose registers agree in a whole band share a
 bucket.  Two rounds follow, both over all buckets:
 
 1. every member is compared with the least node of its bucket;
@@ -32,6 +32,8 @@ from .workspace import Workspace
 MARGIN = 4.5
 #: Rows of a block of a bucket, and of the strips in which a block's pairs are taken.
 BLOCK, STRIP = 1024, 64
+#: Pairs of one node that meet in a task; a node with more is copied to several.
+SPLIT = 2000
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -55,17 +57,17 @@ def _signatures(width: int, band_rows: int):
                 sketch = setsketch.registers(values, edges)
                 keys = setsketch.band_keys(sketch, band_rows)
                 sizes = np.diff(edges)
-                nodes = [int.from_bytes(hashlib.blake2b(values[edges[r] : edges[r + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) if sizes[r] else None for r in range(n_rows)]
+                digests = [hashlib.blake2b(values[edges[r] : edges[r + 1]].tobytes(), digest_size=16).digest() if sizes[r] else None for r in range(n_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, n_rows),
                         batch.column("text_hash").slice(first, n_rows),
                         pa.array(sizes, pa.int64()),
-                        pa.array(nodes, pa.int64()),
+                        *(pa.array([d and int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests], pa.int64()) for k in (0, 8)),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
                         pa.array([keys[r] if sizes[r] else None for r in range(n_rows)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_hash", "n", "node", "sketch", "bands"],
+                    names=["doc_id", "text_hash", "n", "node", "other", "sketch", "bands"],
                 )
 
     return of
@@ -219,30 +221,45 @@ def near_duplicates(
     threshold = num / den
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     source = source.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = source.mapInArrow(_signatures(width, band_rows), "doc_id long, text_hash long, n long, node long, sketch binary, bands array<long>")
+    signed = source.mapInArrow(_signatures(width, band_rows), "doc_id long, text_hash long, n long, node long, other long, sketch binary, bands array<long>")
     signed = work.save(signed, "signatures")
     n_docs = signed.count()
 
+    # nodes go by half of their digest; where two share it, the others take a number made of both halves
+    halves = signed.filter("n > 0").select("node", "other").distinct().groupBy("node").agg(F.count("*").alias("sets"), F.min("other").alias("least"))
+    clashes = halves.filter("sets > 1").select("node", "least")
+    if not clashes.isEmpty():
+        renamed = signed.join(clashes, "node", "left").withColumn("node", F.when(F.col("other") != F.col("least"), F.xxhash64("node", "other")).otherwise(F.col("node")))
+        signed = work.save(renamed.drop("least"), "renamed")
+
     one = F.min(F.struct("doc_id", "text_hash", "n", "sketch", "bands")).alias("one")
-    nodes = work.save(signed.filter("n > 0").groupBy("node").agg(one).select("node", "one.*"), "nodes", n_docs)
+    nodes = work.save(signed.filter("n > 0").groupBy("node").agg(one).select("node", "one.*"), "nodes", n_docs, 4_000)
     banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    members = work.save(banded.join(buckets, "key"), "members", n_docs)
+    members = work.save(banded.join(buckets, "key"), "members", n_docs, 4_000)
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     texts = source.join(wanted.hint("shuffle_hash"), (source["doc_id"].eqNullSafe(wanted["doc_id"])) & (source["text_hash"] == wanted["text_hash"])).select("node", "text")
+    if not signed.filter("n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])  # rows that repeat in full
     texts = work.save(texts, "texts", n_docs, 4_000)
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        found = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(width, num, den), "a long, b long")
-        return work.save(found, name, n_docs, 5_000)
+    def paired(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        """pairs (a, b) with the columns of both nodes; nodes of many pairs are copied, so that no task gets them all."""
+        busy = pairs.groupBy("b").count().filter(F.col("count") > SPLIT).select("b", F.ceil(F.col("count") / SPLIT).cast("int").alias("copies"))
+        a, b = (table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
+        if busy.isEmpty():
+            return pairs.join(a, "a").join(b, "b")
+        salted = pairs.join(busy, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        copied = b.join(busy, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        return salted.join(copied, ["b", "salt"]).drop("salt").join(a, "a")
 
     sketches = nodes.select("node", "n", "sketch")
-    first = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    first = first.join(a, "a").join(b, "b").filter(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
-    links = confirmed(first.mapInArrow(_estimated(threshold), "a long, b long"), "links-1")
+    first = work.save(members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs", n_docs, 20_000)
+    first = paired(first, sketches, "n", "sketch").filter(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
+    first = work.save(first.mapInArrow(_estimated(threshold), "a long, b long"), "likely", n_docs, 20_000)
+    found = paired(first, texts, "text").select("a", "b", "text_a", "text_b")
+    links = work.save(found.mapInArrow(_confirmed(width, num, den), "a long, b long"), "links-1", n_docs, 5_000)
     components = work.save(connected_components(work, links, "first"), "components-1", n_docs, 100_000)
 
     labelled = members.join(components, "node", "left").select("key", "band", "node", "n", "size", F.coalesce("component", "node").alias("component"))
@@ -272,5 +289,5 @@ def near_duplicates(
     named = work.save(named.join(least, "component").select("node", "component_id"), "named", n_docs, 50_000)
     out = signed.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    work.drop("texts", "members", "labelled", "nodes")
+    work.drop("texts", "members", "labelled", "nodes", "pairs", "likely", "promising", "links-1", "links-2", "components-1")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

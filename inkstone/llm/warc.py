@@ -257,7 +257,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """Read records through the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     payload is null for revisits; bytes and digest are always those of the full payload,
-    and every response is checked against them.  Each frame is decompressed once.
+    and every response is checked against them.  Each frame is decompressed once, and there
+    are as many tasks as bundles, whose size is bounded.  The index has no nulls but in
+    page_id and refers_to; an empty one gives an empty result, and a record that does not
+    match its index row or digest is an error.
     """
-    places = index.select("bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    bundles = max(1, index.select("bundle").distinct().count())
+    places = index.select("bundle", "frame", "offset", "length").repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame", "offset")
     return places.mapInArrow(_reader(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")

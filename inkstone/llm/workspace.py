@@ -12,10 +12,15 @@ TEXT_ROWS_PER_BATCH = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests on one machine."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset on one machine.
+
+    RuntimeError on a cluster without one: a folder of one machine would lose data there.
+    """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="inkstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,7 +30,8 @@ class Workspace:
     """A run's own subfolder; ``save`` cuts lineage by writing a table and reading it again.
 
     A lost executor never costs more than the stage at hand, since every saved table
-    is in the shared folder.
+    is in the shared folder.  Text operators need small Arrow batches; the limit is lowered
+    for the session if it is higher, and stays so, since results are computed later.
     """
 
     def __init__(self, spark: SparkSession, name: str):

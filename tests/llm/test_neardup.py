@@ -59,6 +59,42 @@ def test_large_bucket_over_several_blocks(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in found.collect()} == _brute(docs, 3, 85, 100)
 
 
+def test_repeated_rows_are_not_paired(spark, monkeypatch):
+    base = prose(300, 1)
+    docs = [(k, _edited(base, 60, k)) for k in range(2)]
+    frame = spark.createDataFrame([d for d in docs for _ in range(300)], "doc_id long, text string")
+    saved = {}
+    save = Workspace.save
+
+    def kept(self, frame, name, *more):
+        out = save(self, frame, name, *more)
+        saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "save", kept)
+    found = neardup.near_duplicates(spark, frame, width=3, num=85, den=100, band_rows=5).collect()
+    assert len(found) == 600 and {r["component_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 300
+    assert saved["links-1"] <= 2 and saved["texts"] == 2
+
+
+def test_busy_nodes_and_half_digests_that_clash(spark, monkeypatch):
+    base = prose(300, 1)
+    docs = [(k, _edited(base, 60 + k % 9, k)) for k in range(80)] + [(100 + k, prose(100, 50 + k % 7)) for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = _brute(docs, 3, 85, 100)
+    monkeypatch.setattr(neardup, "SPLIT", 3)
+    assert {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(spark, frame, width=3, num=85, den=100, band_rows=5).collect()} == expected
+    save = Workspace.save
+
+    def clashing(self, frame, name, *more):
+        if name == "signatures":
+            frame = frame.withColumn("node", frame["node"] % 5)
+        return save(self, frame, name, *more)
+
+    monkeypatch.setattr(Workspace, "save", clashing)
+    assert {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(spark, frame, width=3, num=85, den=100, band_rows=5).collect()} == expected
+
+
 def test_odd_rows(spark, odd):
     found = neardup.near_duplicates(spark, odd).collect()
     assert len(found) == odd.count()
