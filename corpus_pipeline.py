@@ -14,35 +14,45 @@ from inkstone.llm import decontaminate, neardup, packing, pii, quality
 from inkstone.llm.workspace import Workspace
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id is among the kept; a verdict per id, so rows that repeat an id share it."""
-    keep = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base limits and the isolation forest."""
-    return _kept(docs, quality.quality(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that pass the base limits and the isolation forest.
+
+    Every row is judged by its own text, whatever its id: null and empty texts go, rows with
+    a null or repeated id stay if their text is good, ties of scores are decided alike.
+    """
+    return quality.good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    return _kept(docs, neardup.near_duplicates(spark, docs))
+    """One document of each group of near duplicates: the one with the least id, a null one last.
+
+    Rows are numbered, so exactly one stays however ids repeat or are null.  Texts without
+    words are linked with nothing and stay.
+    """
+    work = Workspace(spark, "near-duplicates")
+    key = "row"
+    while key in docs.columns:
+        key = f"_{key}"
+    numbered = work.save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    groups = neardup.near_duplicates(spark, numbered, id_column=key).select(F.col("doc_id").alias(key), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(key).alias("row"))).alias("first")
+    stay = numbered.select(key, "doc_id").join(groups, key).groupBy("component_id").agg(first).select(F.col("first.row").alias(key))
+    return numbered.join(stay, key, "left_semi").drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item; every row is judged by its own text, null and empty ones stay."""
     return decontaminate.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind, n_chars to match."""
+    """All documents, personal data replaced by its kind, n_chars to match; null texts stay null."""
     redacted = pii.redact(spark, docs)
     return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in a training sequence."""
+    """Every piece's place in a training sequence; a null text is one closing id, repeated rows are packed once each."""
     return packing.pack(spark, docs)
 
 
@@ -59,7 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
+    """All stages applied to documents; an empty table gives an empty result."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
