@@ -1,7 +1,7 @@
 import corpus_pipeline
 from inkstone.llm import decontaminate, neardup, pii, quality
 
-from .conftest import rows
+from .conftest import prose, rows
 
 
 def test_stages_in_order_and_columns(spark, small):
@@ -37,7 +37,34 @@ def test_run(spark, small):
 
 
 def test_odd_rows(spark, odd, empty, small):
-    for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            result = stage(spark, docs, small)
-            result.count()
+    # by stage: the ids of the rows that stay; nulls and repeats are judged by their own text
+    expected = [
+        [3, 3, 3, 6, 7, 8, None],  # fewer than 50 words go
+        [1, 2, 3, 3, 4, 5, 6, 8, 9, None, None],  # the copies of one text of 3 and 7 leave one row; texts without words stay
+        [1, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9, None, None],
+        [1, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9, None, None],
+    ]
+    for (name, stage), ids in zip(corpus_pipeline.STAGES, expected):
+        found = stage(spark, odd, small)
+        assert found.schema == odd.schema, name
+        assert sorted((r["doc_id"] for r in found.collect()), key=lambda i: (i is None, i)) == ids, name
+        assert stage(spark, empty, small).count() == 0
+    packed = corpus_pipeline.best_fit_packing(spark, odd, small)
+    assert packed.filter("piece = 0").count() == odd.count() and not packed.filter("offset + length > 2048").count()
+    assert corpus_pipeline.best_fit_packing(spark, empty, small).count() == 0
+
+
+def test_repeated_and_null_ids(spark, small):
+    texts = [prose(80, 1), prose(80, 1), prose(80, 2), prose(80, 3), prose(80, 4), prose(80, 4)]
+    docs = spark.createDataFrame(list(zip([1, 1, 1, None, None, 9], texts, range(6))), "doc_id long, text string, extra int")
+    assert sorted(r["extra"] for r in corpus_pipeline.quality_rules(spark, docs, small).collect()) == list(range(6))
+    single = corpus_pipeline.near_duplicates(spark, docs, small)
+    # of two equal rows with id 1 one stays; a text with id 9 and with none stays with its id
+    assert single.columns == docs.columns
+    assert sorted(r["extra"] for r in single.collect()) in ([0, 2, 3, 5], [1, 2, 3, 5])
+
+
+def test_a_leak_removes_its_own_row_only(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").filter("length(text) > 60").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, item, 0), (1, prose(80, 1), 1), (None, item, 2), (None, prose(80, 2), 3)], "doc_id long, text string, extra int")
+    assert sorted(r["extra"] for r in corpus_pipeline.decontamination(spark, docs, small).collect()) == [1, 3]
