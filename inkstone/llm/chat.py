@@ -1,8 +1,9 @@
 """Chat formatting into token-budgeted windows, with DataFrame functions only.
 
-Prefix sums of turn tokens deal a conversation's turns to spans of a fixed budget.  A
-window is one span, preceded by the system turn and by as much of the history before it
-as the history budget allows.  Only a window's own assistant turns carry loss, so every
+Running sums of turn tokens cut a conversation's turns into spans: a span takes turns as
+long as the budget allows.  A window is one span, preceded by the system turn and by as
+much of the history before it as the history budget allows; prefix sums tell how far that
+reaches.  Only a window's own assistant turns carry loss, so every
 assistant text is a target exactly once however often it is repeated as history.
 
 A turn is written ``<|turn|>role\\ntext<|end|>\\n``.  Control strings inside roles and texts,
@@ -22,7 +23,7 @@ MARKS = 4
 TURN, END = "<|turn|>", "<|end|>\n"
 # What opens control strings of this and other templates.
 _CONTROL = r"([<\[])(?=\||/?s>|</?SYS>>|/?INST\])"
-#: Words and single signs; an estimate that needs no tokenizer.
+#: Words and single signs: an estimate of tokens, since tokenizers are no DataFrame functions.
 _TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\s\p{L}\p{N}\p{M}]"
 
 
@@ -55,7 +56,8 @@ def windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HI
     how many turns at the start of text repeat earlier ones (system turn and history);
     n_turns: the window's own turns.  A window holds at most ``budget`` tokens unless one
     turn alone, or the system turn, exceeds it.  A first turn of role system is repeated in every later
-    window.  Null roles and texts are empty; a null conv_id is a conversation of its own;
+    window.  The sizes of a conversation's turns, not their texts, meet in one row.  Null
+    roles and texts are empty; a null conv_id is a conversation of its own;
     other columns are ignored; an empty table gives an empty result.
     """
     turns = conversations.select(
@@ -69,10 +71,21 @@ def windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HI
     # the system turn has its own place, so prefix sums run over the others
     first = F.when(has_system, F.col("opening.size")).otherwise(0)
     turns = turns.withColumn("is_system", has_system & (F.col("at") == 1)).withColumn("start", F.col("stop") - F.col("size") - first).withColumn("stop", F.col("stop") - first)
-    bucket = F.floor(F.col("start") / room)
-    crosses = F.floor((F.col("stop") - 1) / room) > bucket
-    # even windows: turns within a stretch of the budget; odd: a turn across the border of two
-    turns = turns.withColumn("window", F.when(F.col("is_system"), F.lit(0)).otherwise(2 * bucket + F.when(crosses, 1).otherwise(0)).cast("long"))
+    # a span is closed by the first turn that does not fit; only sizes meet in one row
+    sizes = turns.filter(~F.col("is_system")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("sizes"), F.first(room).alias("room"))
+
+    def taken(state: Column, turn: Column) -> Column:
+        closed = (state["used"] > 0) & (state["used"] + turn["size"] > F.col("room"))
+        used = F.when(closed, turn["size"]).otherwise(state["used"] + turn["size"])
+        return F.struct(used.alias("used"), F.when(closed, F.concat(state["starts"], F.array(turn["at"]))).otherwise(state["starts"]).alias("starts"))
+
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array(F.col("sizes")[0]["at"]).alias("starts"))
+    spans = sizes.select("conv_id", F.aggregate("sizes", empty, taken, lambda state: state["starts"]).alias("starts"), F.element_at("sizes", -1)["at"].alias("last"))
+    stops = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.col("last") + 1))
+    spans = spans.select("conv_id", F.posexplode(F.arrays_zip(F.col("starts").alias("from"), stops.alias("to"))).alias("window", "span"))
+    spans = spans.select(F.col("conv_id").alias("of"), F.col("window").cast("long").alias("window"), F.explode(F.sequence(F.col("span.from"), F.col("span.to") - 1)).alias("place"))
+    turns = turns.join(spans, turns["conv_id"].eqNullSafe(spans["of"]) & (turns["at"] == spans["place"]), "left").drop("of", "place")
+    turns = turns.withColumn("window", F.coalesce("window", F.lit(0).cast("long")))
     turns = turns.withColumn("opens", ~F.col("is_system") & (F.lag("window", 1, -1).over(order) != F.col("window")) | F.col("is_system") | (F.lag("is_system", 1, False).over(order) & (F.col("window") > 0)))
     ahead = Window.partitionBy("conv_id").orderBy("start").rangeBetween(1, history)
     turns = turns.withColumn("later", F.when(~F.col("is_system"), F.collect_list(F.when(F.col("opens") & ~F.col("is_system"), F.col("window"))).over(ahead)))

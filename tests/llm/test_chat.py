@@ -68,6 +68,39 @@ def test_windows_keep_budget_history_and_masks(spark):
     assert seen == {c: len(t) for c, t in conversations.items()}
 
 
+def test_spans_are_filled(spark):
+    # 200 turns of 124 counted tokens: six fit into 768 tokens beside the history
+    conversations = {1: [("assistant" if k % 2 else "user", prose(60, k)) for k in range(200)]}
+    frame = _frame(spark, conversations)
+    size = frame.select(chat.tokens(F.col("text")).alias("n")).distinct().collect()
+    windows = chat.windows(frame).collect()
+    room = (chat.BUDGET - chat.HISTORY) // size[0]["n"]
+    assert len(size) == 1 and len(windows) == -(-200 // room)
+    assert sum(w["n_tokens"] for w in windows) >= 0.85 * chat.BUDGET * len(windows)
+    assert all(w["loss_spans"] for w in windows)
+
+
+def test_greedy_spans_same_as_brute_force(spark):
+    conversations = _long()
+    sizes = {(r["conv_id"], r["turn"]): r["n"] for r in _frame(spark, conversations).select("conv_id", "turn", chat.tokens(F.col("text")).alias("n")).collect()}
+    expected = {}
+    for c, turns in conversations.items():
+        system = sizes[c, 0] if turns[0][0] == "system" else 0
+        room, used, spans = max(300 - 60 - system, 75), 0, [0]
+        for t in range(len(turns)):
+            if t == 0 and system:
+                spans[-1] += 1
+                continue
+            if used and used + sizes[c, t] > room:
+                spans.append(0)
+                used = 0
+            used += sizes[c, t]
+            spans[-1] += 1
+        expected |= {(c, k): n for k, n in enumerate(spans)}
+    found = chat.windows(_frame(spark, conversations), budget=300, history=60).collect()
+    assert {(r["conv_id"], r["window"]): r["n_turns"] for r in found} == expected
+
+
 def test_only_native_operators(spark):
     windows = chat.windows(_frame(spark, {1: [("user", "a"), ("assistant", "b")]}))
     plan = chat.digests(chat.read_back(windows))._jdf.queryExecution().toString()
