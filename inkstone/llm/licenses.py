@@ -46,6 +46,10 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
     "BSD-3-Clause-line": "Released under the BSD 3-Clause License.",
 }
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace(
+    "THIS SOFTWARE IS PROVIDED BY",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY",
+)
 
 
 def _bigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,10 +25,10 @@ from .workspace import Workspace
 CAPACITY = 2048
 #: Pieces that one task packs.
 PART_PIECES = 100_000
-#: Sequences that a partition with a gap gives up, and partitions whose given-up pieces meet.
-GIVEN_UP, MEET = 256, 8
-#: Given-up pieces up to which the best subset is sought for every sequence.
-SUBSET_PIECES = 20_000
+#: Sequences that a partition gives up at least, those for each sequence of its gap, and partitions whose given-up pieces meet.
+GIVEN_UP, BY_GAP, MEET = 256, 8, 8
+#: Pieces among which best subsets are sought at a time.
+SUBSET_PIECES = 2_000
 #: Longer texts, and those with code points from U+0280 on, go through the slower tokenizer library.
 LONG_TEXT, FIRST_RARE_BYTE = 1_000_000, 0xCA
 
@@ -161,6 +161,19 @@ def best_subsets(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets
 
 
+def best_subsets_by_parts(lengths: np.ndarray, capacity: int = CAPACITY, part: int = SUBSET_PIECES) -> tuple[np.ndarray, np.ndarray]:
+    """``best_subsets`` of parts with a like mix of lengths, so that its cost stays in proportion to the pieces."""
+    parts = max(1, -(-len(lengths) // part))
+    bins, offsets, made = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    order = np.argsort(-lengths, kind="stable")
+    for k in range(parts):
+        own = order[k::parts]
+        at, offsets[own] = best_subsets(lengths[own], capacity)
+        bins[own] = at + made
+        made += int(at.max(initial=-1)) + 1
+    return bins, offsets
+
+
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Least number of bins that dual feasible functions prove necessary.
 
@@ -190,8 +203,8 @@ def _packed(capacity: int, round_: int, last: bool, several: bool):
         lengths = part["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         bound, made = lower_bound(lengths, capacity), int(bins.max()) + 1
-        if round_ and made > bound and len(lengths) <= SUBSET_PIECES:
-            other = best_subsets(lengths, capacity)
+        if round_ and made > bound:
+            other = best_subsets_by_parts(lengths, capacity)
             if other[0].max() + 1 < made:
                 bins, offsets, made = *other, int(other[0].max()) + 1
         before = part["sequence_id"].nunique() if round_ else made + 1
@@ -203,7 +216,7 @@ def _packed(capacity: int, round_: int, last: bool, several: bool):
         part["open"] = False
         if not last and (made > bound or several):
             filled = part.groupby("sequence_id")["length"].sum().sort_values(kind="stable")
-            worst = filled[filled < capacity].index[:GIVEN_UP]
+            worst = filled[filled < capacity].index[: max(GIVEN_UP, BY_GAP * (made - bound))]
             part["open"] = part["sequence_id"].isin(worst)
         part["gap"] = made - bound
         return part

@@ -12,25 +12,29 @@ def _pairs(words):
     return list(zip(words, words[1:]))
 
 
+def every(text, template, threshold):
+    """All stretches of a text against one template, the best first, without overlaps."""
+    pairs, own = _pairs(_split(text)), set(_pairs(_split(template)))
+    scored, taken = [], []
+    for first in range(len(pairs)) if own.intersection(pairs) else ():
+        found, common = set(), 0
+        for last in range(first, len(pairs)):
+            if pairs[last] not in found:
+                found.add(pairs[last])
+                common += pairs[last] in own
+            if 2 * len(own) < threshold * (len(found) + len(own)):
+                break  # no longer stretch can reach it
+            if 2 * common >= threshold * (len(found) + len(own)):
+                scored.append((-2 * common / (len(found) + len(own)), first, last + 1))
+    for dice, first, last in sorted(scored):
+        if all(last <= a or b <= first for _, a, b in taken):
+            taken.append((dice, first, last))
+    return sorted((first, last - first + 1, round(-dice, 9)) for dice, first, last in taken)
+
+
 def brute(text, templates, threshold):
-    """Every window that begins with a common bigram, for every template; no bound prunes anything."""
-    pairs, out = _pairs(_split(text)), []
-    for name, template in templates.items():
-        own, scored = set(_pairs(_split(template))), []
-        for first, pair in enumerate(pairs):
-            if pair not in own:
-                continue
-            last = max(k for k in range(first, min(len(pairs), first + len(own))) if pairs[k] in own) + 1
-            found = set(pairs[first:last])
-            dice = 2 * len(found & own) / (len(found) + len(own))
-            if dice >= threshold:
-                scored.append((-dice, first, last))
-        taken = []
-        for dice, first, last in sorted(scored):
-            if all(last <= a or b <= first for a, b in taken):
-                taken.append((first, last))
-                out.append((name, first, last - first + 1, round(-dice, 9)))
-    return sorted(out)
+    """All stretches of a text against every template; no bound prunes anything."""
+    return sorted((name, *found) for name, template in templates.items() for found in every(text, template, threshold))
 
 
 def _texts():
@@ -73,24 +77,6 @@ def test_odd_rows(spark, odd, empty):
     assert licenses.scan(spark, empty).count() == 0
 
 
-def every(text, template, threshold):
-    """All stretches of a text against one template, the best first, without overlaps."""
-    pairs, own = _pairs(_split(text)), set(_pairs(_split(template)))
-    scored, taken = [], []
-    for first in range(len(pairs)):
-        found, common = set(), 0
-        for last in range(first, len(pairs)):
-            if pairs[last] not in found:
-                found.add(pairs[last])
-                common += pairs[last] in own
-            if 2 * common >= threshold * (len(found) + len(own)):
-                scored.append((-2 * common / (len(found) + len(own)), first, last + 1))
-    for dice, first, last in sorted(scored):
-        if all(last <= a or b <= first for _, a, b in taken):
-            taken.append((dice, first, last))
-    return sorted((first, last - first + 1, round(-dice, 9)) for dice, first, last in taken)
-
-
 def test_same_as_every_stretch(spark):
     gpl, mit = licenses.TEMPLATES["GPL-3.0-notice"], licenses.TEMPLATES["MIT"]
     words, half = gpl.split(), len(gpl.split()) // 2

@@ -116,3 +116,15 @@ def test_repacking_saves_sequences(spark, parts):
     found = packing.pack(spark, docs, capacity=400, part_pieces=parts).collect()
     bound = packing.lower_bound(np.array([r["length"] for r in found]), 400)
     assert check_sequences(found, 400) <= bound + 2
+
+
+def test_subsets_by_parts_hold_every_piece_once():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(200, 1400, 700)
+    for part in (100, 10_000):
+        bins, offsets = packing.best_subsets_by_parts(lengths, part=part)
+        for b in range(bins.max() + 1):
+            own = np.flatnonzero(bins == b)
+            own = own[np.argsort(offsets[own])]
+            assert len(own) and offsets[own].tolist() == np.concatenate([[0], np.cumsum(lengths[own])[:-1]]).tolist() and lengths[own].sum() <= packing.CAPACITY
+        assert bins.max() + 1 <= 1.05 * packing.lower_bound(lengths) + 8
