@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, neardup, packing, pii, quality, suffixtree, toxicity, warc
+from . import chat, decontaminate, licenses, neardup, oracles, packing, pii, quality, suffixtree, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose whole result follows from their contract; the others hold a model's verdicts."""
+    return dict(oracles.ORACLES)
