@@ -1,7 +1,8 @@
 """Text, titles and links of HTML pages.
 
 The regular-expression forms are native and cover well-formed pages; the tree forms are
-vectorised UDFs on the standard library's parser for the rest.
+vectorised UDFs on the standard library's parser for the rest and for what a link's
+surroundings decide.
 """
 
 from __future__ import annotations
@@ -123,3 +124,57 @@ def tree_text(html: Column | str) -> Column:
 def area_text(html: Column | str) -> Column:
     """Text of content areas by the parser, of the whole page where there are none."""
     return F.pandas_udf(_parsed_areas, "string")(html)
+
+
+#: Elements without content, which are nobody's parent.
+EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Links(HTMLParser):
+    """Anchors with an address, in order: (href, text, classes, the element around it)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[str] = []
+        self.open: list[dict] = []
+        self.found: list[dict] = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "a":
+            named = dict(attributes)
+            link = {"href": (named.get("href") or "").strip(), "text": "", "class": (named.get("class") or "").lower().strip(), "parent": self.stack[-1] if self.stack else None}
+            self.open.append(link)
+            if "href" in named:
+                self.found.append(link)
+        if tag not in EMPTY:
+            self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.stack:
+            while (last := self.stack.pop()) != tag:
+                if last == "a" and self.open:
+                    self.open.pop()
+            if tag == "a" and self.open:
+                self.open.pop()
+
+    def handle_data(self, data):
+        for link in self.open:
+            link["text"] += data
+
+
+def parse_links(html: str | None) -> list[dict] | None:
+    if html is None:
+        return None
+    parser = _Links()
+    parser.feed(html)
+    parser.close()
+    return [link | {"text": link["text"].strip()} for link in parser.found]
+
+
+def _linked(html: pd.Series) -> pd.Series:
+    return html.map(parse_links)
+
+
+def tree_anchors(html: Column | str) -> Column:
+    """array<struct<href, text, class, parent>> of links by the parser, in order; parent: the element around the link."""
+    return F.pandas_udf(_linked, "array<struct<href: string, text: string, class: string, parent: string>>")(html)

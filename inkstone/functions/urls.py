@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import urllib.parse
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Suffixes of resources that are no pages, and addresses that are never crawled.
-RESOURCES = ("jpg", "jpeg", "png", "gif", "svg", "ico", "css", "js", "mp3", "mp4", "xml", "json", "woff", "woff2", "ttf", "eot")
+# Suffixes of resources that are no pages, and addresses that one site's crawl leaves out.
+RESOURCES = ("jpg", "jpeg", "png", "gif", "svg", "css", "js", "ico", "mp3", "mp4", "xml", "json", "woff", "woff2", "ttf", "eot")
 EXCLUDED_PREFIXES = ("https://storm.apache.org/talksAndVideos.html",)
 
 
@@ -46,30 +43,42 @@ def suffix(path_: Column) -> Column:
     return F.lower(F.regexp_extract(path_, r"(\.[^./]+)$", 1))
 
 
-def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([urllib.parse.urljoin(b, x) if b is not None and x is not None else None for b, x in zip(base, link)])
+def without_dots(url: Column) -> Column:
+    """``.`` and ``..`` parts of an absolute URL's path resolved; a ``..`` at the root is dropped."""
+    start, rest = origin(url), F.substring(url, F.length(origin(url)) + 1, F.length(url))
+    own = F.regexp_extract(rest, r"^([^?]*)", 1)
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        back = F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.slice(F.split(own, "/"), 2, F.size(F.split(own, "/"))), none, step)
+    closed = F.when(F.rlike(own, F.lit(r"/\.\.?$")), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    short = F.concat(start, F.lit("/"), F.array_join(closed, "/"), F.substring(rest, F.length(own) + 1, F.length(rest)))
+    return F.when(F.rlike(own, F.lit(r"/\.\.?(/|$)")), short).otherwise(url)
 
 
-def resolved(link: Column, page: Column, dot_segments: bool = False) -> Column:
+def resolved(link: Column, page: Column) -> Column:
     """A link as an absolute URL without fragment; null for empty and non-page ones.
 
     Absolute links stay, links from the root join the page's origin, others the page's
-    folder.  ``dot_segments`` also resolves ``../`` by a vectorised UDF, which takes the
-    expression out of generated code, so it is off by default.
+    folder; ``.`` and ``..`` are resolved there.
     """
-    bare = without_fragment(link)
+    bare = F.trim(without_fragment(link))
     folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:[^?#]*/)?)", 1)
     folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    other = F.pandas_udf(_joined, "string")(page, bare) if dot_segments else F.concat(folder, bare)
     return (
         F.when(link.isNull() | (bare == "") | F.rlike(bare, F.lit(r"(?i)^(mailto|tel|javascript|data):")), F.lit(None).cast("string"))
         .when(F.rlike(bare, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), bare)
-        .when(F.startswith(bare, F.lit("/")), F.concat(origin(page), bare))
-        .otherwise(other)
+        .when(F.startswith(bare, F.lit("//")), F.concat(F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), bare))
+        .when(F.startswith(bare, F.lit("/")), without_dots(F.concat(origin(page), bare)))
+        .when(F.startswith(bare, F.lit("?")), F.concat(F.regexp_extract(page, r"^([^?#]*)", 1), bare))
+        .otherwise(without_dots(F.concat(folder, bare)))
     )
 
 
-def valid(url: Column, domain: Column, excluded: tuple[str, ...] = EXCLUDED_PREFIXES) -> Column:
+def valid(url: Column, domain: Column, excluded: tuple[str, ...] = ()) -> Column:
     """Whether a URL is a page of the domain: its prefix, no resource suffix, authority within the domain."""
     good = (url != "") & F.startswith(url, domain) & ~F.rlike(url, F.lit(r"(?i)\.(" + "|".join(RESOURCES) + ")$")) & F.contains(domain, authority(url))
     for prefix in excluded:

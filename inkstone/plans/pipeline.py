@@ -25,9 +25,13 @@ class Collection:
 
 
 def crawled(spark: SparkSession, pages: DataFrame, seed: str, max_pages: int = 40) -> DataFrame:
-    """The pages that a bounded crawl from a seed reaches; one page is the seed alone."""
-    reached = graph.levels(spark, graph.edges(pages), seed, max_pages=max_pages)
-    return pages.join(F.broadcast(reached.select(F.col("id").alias("url"))), "url", "left_semi")
+    """The pages of the seed's site that a bounded crawl from it reaches; one page is the seed alone.
+
+    Only addresses of pages count against ``max_pages``.
+    """
+    links = graph.edges(pages, U.origin(F.lit(seed)))
+    reached = graph.levels(spark, links, seed, max_pages=max_pages, among=pages.select(F.col("url").alias("id")))
+    return pages.join(reached.select(F.col("id").alias("url")), "url", "left_semi")
 
 
 def build(spark: SparkSession, pages: DataFrame, *, tolerance: float = graph.TOLERANCE) -> Collection:

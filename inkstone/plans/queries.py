@@ -240,12 +240,18 @@ _BASENAME = "string_split(regexp_replace({}, '/+$', ''), '/')[-1]"
 _TAGS = "regexp_extract_all(html, '(?is)(<a\\b[^>]*>.*?</a>)', 1)"
 _HREF = "regexp_extract({}, '(?is)^<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
 _DEPTH = "len(list_filter(string_split({}, '/'), lambda p: p <> '')) - 2"
-_LINKS = f"""anchors as (select page_id, url, html, unnest({_TAGS}) as tag, generate_subscripts({_TAGS}, 1) - 1 as seq from pages),
-links as (select page_id, seq, url as source, {_HREF.format('tag')} as href, trim(regexp_replace(tag, '(?s)<[^>]*>', '', 'g')) as link_text, regexp_extract(html, '(?is)<nav\\b.*?</nav>', 0) as nav from anchors),
-bare as (select *, split_part(href, '#', 1) as b, case when contains(nav, 'href="' || href || '"') then 'nav' else 'body' end as link_position,
+# in these pages every link comes right after the opening tag of the element around it
+_TAGGED = "regexp_extract_all(html, '(?is)(<[a-z][a-z0-9]*\\b[^<>]*>\\s*<a\\b[^>]*>.*?</a>)', 1)"
+_LINKS = f"""anchors as (select page_id, url, unnest(list_distinct({_TAGGED})) as both_ from pages),
+placed as (select a.*, list_position({_TAGGED}, both_) as spot from anchors a join pages using (page_id)),
+links as (select page_id, row_number() over (partition by page_id order by spot) - 1 as seq, url as source, {_HREF.format("regexp_extract(both_, '(?is)(<a.*)$', 1)")} as href,
+  trim(regexp_replace(both_, '(?s)<[^>]*>', '', 'g')) as link_text, lower(regexp_extract(both_, '^<([a-zA-Z0-9]+)', 1)) as link_position from placed),
+bare as (select *, trim(split_part(href, '#', 1)) as b,
   regexp_extract(source, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:[^?#]*/)?)', 1) as folder from links),
 resolved as (select *, case when b = '' or regexp_matches(b, '(?i)^(mailto|tel|javascript|data):') then null when regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://') then b
-  when starts_with(b, '/') then {_ORIGIN.format('source')} || b else case when ends_with(folder, '/') then folder else folder || '/' end || b end as target from bare)"""
+  when starts_with(b, '/') then {_ORIGIN.format('source')} || b else case when ends_with(folder, '/') then folder else folder || '/' end || b end as target from bare),
+judged as (select *, coalesce(target <> '' and starts_with(target, {_ORIGIN.format('source')}) and not regexp_matches(target, '(?i)\\.({"|".join(U.RESOURCES)})$')
+  and contains({_ORIGIN.format('source')}, {_AUTHORITY.format('target')}), false) as valid from resolved)"""
 _LINK_WEIGHT = """round(1.0 * case when link_position in ('nav', 'header', 'footer') then 1.3 else 1.0 end * case when regexp_matches(lower(link_text), 'documentation|guide|tutorial|reference') then 1.4 else 1.0 end
   * 1.0 * greatest(0.7::double, 1 - 0.1::double * abs(len(string_split(source, '/')) - len(string_split(target, '/')))), 3)"""
 
@@ -267,12 +273,12 @@ def page_title(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html"), F.col("url")).alias("title"))
 
 
-@query(f"with {_LINKS} select page_id, cast(seq as int) as seq, target, link_text, link_position from resolved where target is not null")
+@query(f"with {_LINKS} select page_id, cast(seq as int) as seq, target, link_text, link_position from judged where valid")
 def page_links(spark, sf_dir):
     return graph.edges(_table(spark, sf_dir, "pages")).select("page_id", "seq", "target", "link_text", "link_position")
 
 
-@query(f"with {_LINKS} select page_id, cast(seq as int) as seq, {_LINK_WEIGHT} as weight from resolved where target is not null")
+@query(f"with {_LINKS} select page_id, cast(seq as int) as seq, {_LINK_WEIGHT} as weight from judged where valid")
 def link_weight(spark, sf_dir):
     return graph.edges(_table(spark, sf_dir, "pages")).select("page_id", "seq", "weight")
 
@@ -288,16 +294,13 @@ def url_parts(spark, sf_dir):
 @query(f"with {_LINKS} select page_id, count(*) as n_links, count(target) as n_resolved, count(distinct target) as n_targets from resolved group by page_id")
 def url_resolve(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
-    links = pages.select("page_id", "url", F.explode(H.anchors(F.col("html"))).alias("a")).select("page_id", U.resolved(F.col("a.href"), F.col("url")).alias("target"))
+    links = pages.select("page_id", "url", F.explode(F.array_distinct(H.tree_anchors("html"))).alias("a")).select("page_id", U.resolved(F.col("a.href"), F.col("url")).alias("target"))
     return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count("target").alias("n_resolved"), F.countDistinct("target").alias("n_targets"))
 
 
-@query(
-    f"""with {_LINKS} select page_id, cast(seq as int) as seq, target, coalesce(target <> '' and starts_with(target, {_ORIGIN.format('source')})
-  and not regexp_matches(target, '(?i)\\.({"|".join(U.RESOURCES)})$') and contains({_ORIGIN.format('source')}, {_AUTHORITY.format('target')}), false) as valid from resolved where target is not null"""
-)
+@query(f"with {_LINKS} select page_id, cast(seq as int) as seq, target, valid from judged where target is not null")
 def valid_urls(spark, sf_dir):
-    links = graph.edges(_table(spark, sf_dir, "pages"))
+    links = graph.edges(_table(spark, sf_dir, "pages"), valid=False)
     return links.select("page_id", "seq", "target", U.valid(F.col("target"), U.origin(F.col("source"))).alias("valid"))
 
 
@@ -310,7 +313,7 @@ def url_storage_path(spark, sf_dir):
 
 
 _NODES = f"""nodes as (select page_id, url, {_OWN_TITLE} as title, length({_visible('html')}) as content_length, len(regexp_extract_all(html, '(?i)<(?:h1|h2|h3)[\\s>]')) as headers,
-  len(regexp_extract_all(html, '(?i)<(?:code|pre)[\\s>]')) as code, len(list_filter({_TAGS}, lambda t: {_HREF.format('t')} <> '')) as links from pages),
+  len(regexp_extract_all(html, '(?i)<(?:code|pre)[\\s>]')) as code, len(list_filter({_TAGS}, lambda t: starts_with({_HREF.format('t')}, '/') and not regexp_matches({_HREF.format('t')}, '(?i)\\.({"|".join(U.RESOURCES)})$'))) as links from pages),
 weighed as (select *, round(1.0::double * case when title is not null then 1.2 else 1.0 end::double * case when coalesce(regexp_matches(lower(title), 'home|index|main|documentation'), false) then 1.5 else 1.0 end::double
   * case when content_length > 5000 then 1.3 when content_length < 500 then 0.7 else 1.0 end::double * (1 + least(0.1::double * headers, 0.5::double))
   * case when regexp_matches(url, '(index\\.html|/|main\\.html)$') then 1.4 else 1.0 end::double * greatest(0.5::double, 1 - 0.1::double * ({_DEPTH.format('url')})) * (1 + least(0.05::double * code, 0.3::double)), 3) as weight from nodes)"""

@@ -79,6 +79,40 @@ def test_bounded_traversal(spark):
     assert graph.levels(spark, links, "a", max_pages=1).count() == 1
 
 
+SITE = [
+    (1, "http://s.org/", '<nav><a href="/a">Guide</a><a href="http://o.org/x">out</a></nav><footer><a href="b/../c">c</a></footer><p><a href="/a">Guide</a> <a href="/logo.png">i</a> <a href="/gone">g</a></p>'
+     + "".join(f'<a href="http://o{k}.org/">o</a>' for k in range(7))),
+    (2, "http://s.org/a", '<p><a class="nav-x" href="/">home</a><a href="/c#top">c</a><a href="/c">c</a></p>'),
+    (3, "http://s.org/c", '<li><a href="/d">d</a></li>'),
+    (4, "http://s.org/d", None),
+]
+
+
+def test_links_of_pages(spark):
+    pages = spark.createDataFrame(SITE, "page_id long, url string, html string")
+    found = [(r["source"], r["target"], r["link_position"], r["weight"]) for r in graph.edges(pages).orderBy("page_id", "seq").collect()]
+    # one level of depth difference costs a tenth; nav, header and footer around a link count 1.3, guides 1.4, nav classes 1.2
+    assert found == [
+        ("http://s.org/", "http://s.org/a", "nav", 1.82), ("http://s.org/", "http://s.org/c", "footer", 1.3), ("http://s.org/", "http://s.org/a", "p", 1.4), ("http://s.org/", "http://s.org/gone", "p", 1.0),
+        ("http://s.org/a", "http://s.org/", "p", 1.2), ("http://s.org/a", "http://s.org/c", "p", 1.0), ("http://s.org/a", "http://s.org/c", "p", 1.0), ("http://s.org/c", "http://s.org/d", "li", 1.0),
+    ]
+    assert graph.edges(pages, valid=False).count() == 17
+    assert {r["page_id"]: r["outbound_links"] for r in graph.nodes(pages.filter("html is not null")).collect()} == {1: 4, 2: 3, 3: 1}
+
+
+def test_a_limited_crawl_counts_pages_only(spark):
+    pages = spark.createDataFrame([*SITE, (9, "http://o1.org/", "")], "page_id long, url string, html string")
+    ids = lambda n: sorted(r["page_id"] for r in pipeline.crawled(spark, pages, "http://s.org/", n).collect())
+    assert [ids(n) for n in (1, 2, 3, 4, 40)] == [[1], [1, 2], [1, 2, 3], [1, 2, 3, 4], [1, 2, 3, 4]]
+
+
+def test_top_pages(spark):
+    pages = spark.createDataFrame(SITE, "page_id long, url string, html string")
+    links, known = graph.edges(pages), pages.select(F.col("url").alias("id"), "url", F.concat(F.lit("page "), "page_id").alias("title"))
+    assert [tuple(r) for r in graph.top_pages(known, links, "target", 2).collect()] == [("http://s.org/c", "http://s.org/c", "page 3", 3), ("http://s.org/a", "http://s.org/a", "page 2", 2)]
+    assert [r["degree"] for r in graph.top_pages(known, links, "source", 5).collect()] == [4, 3, 1]
+
+
 def test_clusters(spark):
     points = [(0, [0.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [9.0, 9.0], 1), (3, [9.0, 8.0], 1)]
     vectors = spark.createDataFrame(points, "id long, vector array<double>, label int")
