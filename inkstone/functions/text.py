@@ -19,7 +19,8 @@ _BLANKS = r"[\s\p{Z}]+"
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), _NOT_WORD, " "), _BLANKS), lambda t: t != "")
+    """Lower-case runs of word characters, in one pass."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
 def index_tokens(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
@@ -46,12 +47,18 @@ def clean_prose(text: Column) -> Column:
     return F.regexp_replace(collapse(text), r"[^\p{L}\p{N}_\s\p{Z}.,!?-]", "")
 
 
+# What is blanked before words are taken for word vectors, parts of camel-case words,
+# abbreviations whose period ends no sentence, and what does end one.
+BLANKED = (r"\d+\.\d+\.\d+", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d+\s*(?:days?|months?|years?)\b", r"[_-]")
+CAMEL = r"([A-Z]?[a-z]+|[A-Z]{2,}(?=[A-Z][a-z]|\d|\W|$)|\d+)"
+ABBREVIATIONS = r"(Mr|Dr|Mrs|Ms)\."
+SENTENCE_END = r"[.!?]+\s+(?=[A-Z])"
+
+
 def embedding_tokens(text: Column) -> Column:
     """Words for word vectors: version numbers, ISO dates and counted days, months or years are blanked."""
-    text = F.regexp_replace(text, r"\d+\.\d+\.\d+", " ")
-    text = F.regexp_replace(text, r"\b\d{4}-\d{2}-\d{2}\b", " ")
-    text = F.regexp_replace(text, r"\b\d+\s*(?:days?|months?|years?)\b", " ")
-    text = F.regexp_replace(text, "[_-]", " ")
+    for pattern in BLANKED:
+        text = F.regexp_replace(text, pattern, " ")
     return F.filter(F.split(F.regexp_replace(F.lower(text), _NOT_WORD, " "), _BLANKS), lambda t: t != "")
 
 
@@ -64,7 +71,7 @@ def camel_tokens(text: Column) -> Column:
     """Words split at case changes, in lower case, technical ones only; a word without a part stays whole."""
 
     def parts(word: Column) -> Column:
-        found = F.regexp_extract_all(word, F.lit(r"([A-Z]?[a-z]+|[A-Z]{2,}(?=[A-Z][a-z]|\d|\W|$)|\d+)"), F.lit(1))
+        found = F.regexp_extract_all(word, F.lit(CAMEL), F.lit(1))
         return F.when(F.size(found) > 0, found).otherwise(F.array(word))
 
     words = F.filter(F.split(F.regexp_replace(text, _NOT_WORD, " "), _BLANKS), lambda t: t != "")
@@ -100,8 +107,8 @@ def cluster_name(words: Column, fallback: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split at . ! ? before blanks and a capital; periods after Mr, Dr, Mrs and Ms don't count; the signs go."""
-    guarded = F.regexp_replace(text, r"(Mr|Dr|Mrs|Ms)\.", "$1\x01")
-    parts = F.split(guarded, r"[.!?]+\s+(?=[A-Z])")
+    guarded = F.regexp_replace(text, ABBREVIATIONS, "$1\x01")
+    parts = F.split(guarded, SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, "\x01", "."))), lambda s: s != "")
 
 

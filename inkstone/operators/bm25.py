@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .spread import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Score from which a document is a result; scores of 0 count.
@@ -40,7 +41,7 @@ class Index:
 
 def tokenized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", stopwords: Iterable[str] = T.STOPWORDS, weight: Column | None = None) -> DataFrame:
     """doc_id, tokens, weight (1 without one) of each document."""
-    return docs.select(F.col(id_column).alias("doc_id"), T.index_tokens(F.coalesce(F.col(text_column), F.lit("")), stopwords).alias("tokens"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
+    return spread(docs).select(F.col(id_column).alias("doc_id"), T.index_tokens(F.coalesce(F.col(text_column), F.lit("")), stopwords).alias("tokens"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
 
 
 def build_index(tokens: DataFrame, *, epsilon: float = EPSILON, strict: bool = False) -> Index:
@@ -65,6 +66,12 @@ def statistics(index: Index) -> DataFrame:
     return index.corpus.crossJoin(vocabulary).select("n_docs", "vocabulary", F.col("avgdl").alias("avg_tokens"), "avg_idf")
 
 
+def report(index: Index, documents: DataFrame, metadata: Column, path: str = "", similarity: int = 80) -> DataFrame:
+    """``statistics`` with whether every document has metadata, the index's path and the least similarity of fuzzy matches."""
+    known = documents.agg(F.coalesce(F.bool_and(metadata.isNotNull()), F.lit(True)).alias("has_metadata"))
+    return statistics(index).crossJoin(known).select("*", F.lit(path).alias("index_path"), F.lit(similarity).alias("fuzzy_similarity_threshold"))
+
+
 def scores(index: Index, query: DataFrame, *, k1: float = K1, b: float = B, doc_ids: DataFrame | None = None) -> DataFrame:
     """doc_id, score of every indexed document for query terms (term, qtf); documents without one score 0.
 

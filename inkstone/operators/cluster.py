@@ -7,7 +7,6 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,14 +14,23 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions import urls as U
+from . import summarize
+from .spread import spread
 
 SEED, DIMENSIONS, WINDOW, LEAST_COUNT = 42, 100, 5, 2
 #: Terms of a cluster that are scored and compared, keywords that may be alike at most.
 SCORED, COMPARED, ALIKE = 50, 100, 0.7
 #: Documents of other clusters that terms are compared with.
 OTHERS = 1000
-#: Rows from which exact pairwise silhouettes are refused.
-PAIRWISE_ROWS = 20_000
+#: Rows that Euclidean silhouettes are worked out for, each against all rows.
+SILHOUETTE_ROWS = 2000
+#: Partitions in which word vectors are trained, at every size of the input.
+WORD_PARTITIONS = 8
+#: Query vectors that are sent to the executors at a time.
+QUERY_BLOCK = 10_000
+#: Sentences and characters of a preview by type of file; others have the last.
+PREVIEWS = {".pdf": (3, 300), ".docx": (3, 300), ".txt": (2, 200), ".html": (2, 200), ".htm": (2, 200), "": (2, 150)}
 
 
 def metadata(docs: DataFrame, path: Column, text: Column) -> DataFrame:
@@ -84,16 +92,14 @@ def silhouette_squared(vectors: DataFrame) -> DataFrame:
     return rows.agg(F.avg(value).alias("silhouette"))
 
 
-def silhouette_euclidean(vectors: DataFrame, max_rows: int = PAIRWISE_ROWS) -> DataFrame:
-    """One row: mean silhouette with Euclidean distances, which has no shortcut: all pairs are compared.
+def silhouette_euclidean(vectors: DataFrame, rows: int = SILHOUETTE_ROWS) -> DataFrame:
+    """One row: mean silhouette with Euclidean distances of at most ``rows`` vectors (id, label, vector), each against all.
 
-    Refuses tables of more than ``max_rows``; there, silhouette_squared is the measure.
+    Those with the least hashes of their ids are taken, so up to ``rows`` vectors the result
+    is exact; the work grows with the table, not with its square.
     """
-    n = vectors.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows: exact silhouettes compare all pairs; use silhouette_squared")
-    a, b = (vectors.select(F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("vector").alias(f"vector_{x}")) for x in "ab")
-    pairs = a.join(b, F.col("id_a") != F.col("id_b")).select("id_a", "label_a", "label_b", F.sqrt(S.squared_distance(F.col("vector_a"), F.col("vector_b"))).alias("d"))
+    asked = vectors.select(F.col("id").alias("id_a"), F.col("label").alias("label_a"), F.col("vector").alias("vector_a")).orderBy(F.xxhash64("id_a"), "id_a").limit(rows)
+    pairs = vectors.join(F.broadcast(asked), F.col("id") != F.col("id_a")).select("id_a", "label_a", F.col("label").alias("label_b"), F.sqrt(S.squared_distance(F.col("vector_a"), F.col("vector"))).alias("d"))
     means = pairs.groupBy("id_a", "label_a", "label_b").agg(F.avg("d").alias("d"))
     both = means.groupBy("id_a").agg(F.max(F.when(F.col("label_a") == F.col("label_b"), F.col("d"))).alias("own"), F.min(F.when(F.col("label_a") != F.col("label_b"), F.col("d"))).alias("other"))
     value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))
@@ -101,14 +107,23 @@ def silhouette_euclidean(vectors: DataFrame, max_rows: int = PAIRWISE_ROWS) -> D
 
 
 def most_similar(vectors: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, id, cosine, rank: the k most similar vectors of each query vector (few, broadcast), itself left out."""
+    """query_id, id, cosine, rank: the k most similar vectors of each query vector, itself left out.
+
+    Query vectors are sent to the executors in blocks of about ``QUERY_BLOCK``.
+    """
     asked = query.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    scored = vectors.join(F.broadcast(asked), F.col("id") != F.col("query_id")).select("query_id", "id", S.cosine(F.col("vector"), F.col("query_vector")).alias("cosine"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = None
+    for block in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = vectors.join(F.broadcast(own), F.col("id") != F.col("query_id")).select("query_id", "id", S.cosine(F.col("vector"), F.col("query_vector")).alias("cosine"))
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
-def word_vectors(tokens: DataFrame, *, partitions: int = 1, seed: int = SEED, dimensions: int = DIMENSIONS) -> Word2VecModel:
+def word_vectors(tokens: DataFrame, *, partitions: int = WORD_PARTITIONS, seed: int = SEED, dimensions: int = DIMENSIONS) -> Word2VecModel:
     """Skip-gram vectors of words that occur twice or more; tokens: doc_id, tokens without stop words."""
     model = Word2Vec(vectorSize=dimensions, windowSize=WINDOW, minCount=LEAST_COUNT, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="vector")
     return model.fit(tokens.select("tokens"))
@@ -136,19 +151,17 @@ def kmeans(vectors: DataFrame, k: int, seed: int = SEED) -> DataFrame:
 
 
 def choose_k(vectors: DataFrame, largest: int = 10, seed: int = SEED) -> int:
-    """The k from 2 with the best silhouette, the least of equals; 1 for one row or no variance, 2 if none is better."""
+    """The k from 2 with the best Euclidean silhouette, the least of equals; 1 for one row or no variance, 2 if none is better."""
     n = vectors.count()
     spread = total_variance(vectors).first()[0]
     if n <= 1 or not spread or spread < 1e-10:
         return 1
-    points = vectors.select("id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features")).cache()
+    points = vectors.select("id", "vector", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features")).cache()
     best, chosen = -1.0, 2
     for k in range(2, min(largest, n - 1) + 1):
-        labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="prediction").fit(points).transform(points)
-        if labelled.select("prediction").distinct().count() < 2:
-            continue
-        value = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(labelled)
-        if value > best:
+        labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(points).transform(points)
+        value = silhouette_euclidean(labelled.select("id", "label", "vector")).first()[0]
+        if value is not None and value > best:
             best, chosen = value, k
     points.unpersist()
     return chosen
@@ -160,7 +173,7 @@ def term_scores(docs: DataFrame, stopwords: Iterable[str] = T.STOPWORDS, others:
     docs: id, cluster, path, text.  Terms are compared with at most ``others`` documents of
     other clusters, those with the least seeded hashes, or with all of them for None.
     """
-    words = docs.select("id", "cluster", F.explode(T.alphabetic_words(F.coalesce("text", F.lit("")), stopwords)).alias("term"))
+    words = spread(docs).select("id", "cluster", F.explode(T.alphabetic_words(F.coalesce("text", F.lit("")), stopwords)).alias("term"))
     counted = words.groupBy("cluster", "term").agg(F.count("*").alias("n"))
     total = counted.groupBy("cluster").agg(F.sum("n").alias("total"))
     clusters = docs.select("cluster").distinct()
@@ -211,16 +224,42 @@ def keywords(scores: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
     return near.select("cluster", "term", "place", "in_path", "distinctiveness", "vector").groupBy("cluster").applyInPandas(chosen, f"cluster {kind}, keywords array<string>")
 
 
+def previews(docs: DataFrame) -> DataFrame:
+    """docs (id, path, text) with a preview whose length follows the file's type."""
+    kind = U.suffix(F.col("path"))
+    sentences, chars = (F.lit(PREVIEWS[""][k]) for k in (0, 1))
+    for name, limits in PREVIEWS.items():
+        sentences, chars = (F.when(kind == name, F.lit(limits[k])).otherwise(old) for k, old in ((0, sentences), (1, chars)))
+    sized = docs.withColumns({"__sentences": sentences, "__chars": chars})
+    short = summarize.summaries(sized.select(F.col("id").alias("doc_id"), "text", "__sentences"), "__sentences").select(F.col("doc_id").alias("id"), "summary")
+    shown = summarize.preview(F.col("text"), F.col("summary"), F.col("__sentences"), F.col("__chars"))
+    return sized.join(short, "id", "left").withColumn("preview", shown).drop("summary", "__sentences", "__chars")
+
+
 def structure(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """cluster, name, keywords, size, documents (array of struct<id, path, url, preview, characters, read_time>).
+    """Per document: cluster, name, keywords, size, id, path, url, preview, characters, read_time.
 
     docs: id, cluster, path, url, text, preview; named: cluster, keywords.  Clusters of one
     name stay apart.
     """
-    entry = F.struct(F.col("id"), F.col("path"), F.coalesce("url", F.lit("")).alias("url"), F.col("preview"), F.length(F.coalesce("text", F.lit(""))).alias("characters"), T.read_time(F.coalesce("text", F.lit(""))).alias("read_time"))
-    grouped = docs.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(entry)).alias("documents"))
+    sizes = docs.groupBy("cluster").agg(F.count("*").alias("size"))
     name = T.cluster_name(F.slice("keywords", 1, 2), F.concat(F.lit("Cluster_"), F.col("cluster").cast("string")))
-    return grouped.join(F.broadcast(named), "cluster", "left").select("cluster", name.alias("name"), "keywords", "size", "documents")
+    about = sizes.join(named, "cluster", "left").select("cluster", name.alias("name"), "keywords", "size")
+    text = F.coalesce("text", F.lit(""))
+    return docs.join(F.broadcast(about), "cluster").select(
+        "cluster", "name", "keywords", "size", "id", "path", F.coalesce("url", F.lit("")).alias("url"), "preview", F.length(text).alias("characters"), T.read_time(text).alias("read_time")
+    )
+
+
+def nested(rows: DataFrame) -> DataFrame:
+    """``structure`` with one row per cluster and its documents as an array, for collections that one row can hold."""
+    entry = F.struct("id", "path", "url", "preview", "characters", "read_time")
+    return rows.groupBy("cluster", "name", "keywords", "size").agg(F.array_sort(F.collect_list(entry)).alias("documents"))
+
+
+def empty_documents(docs: DataFrame, path: Column, text: Column) -> DataFrame:
+    """path of the documents without text."""
+    return docs.filter(F.coalesce(text, F.lit("")) == "").select(path.alias("path"))
 
 
 def vectors_of(model: Word2VecModel) -> DataFrame:

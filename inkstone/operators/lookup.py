@@ -17,9 +17,15 @@ def page_keys(url: Column) -> Column:
 def first_match(rows: DataFrame, keys: Column, table: DataFrame, key: str, value: str) -> DataFrame:
     """rows with the value of the first of their keys in the table (one row per key), null without one.
 
-    One join for all candidates; the best is a minimum per row, formed before the shuffle.
+    One join for all candidates; the best is a minimum per array of keys, formed before the
+    shuffle, so rows that try the same keys share it.
     """
-    numbered = rows.withColumn("__row", F.xxhash64(*rows.columns))
-    tried = numbered.select("__row", F.posexplode(keys).alias("__priority", key))
-    found = tried.join(table.select(key, value), key).groupBy("__row").agg(F.min(F.struct("__priority", value)).alias("best"))
-    return numbered.join(found.select("__row", F.col(f"best.{value}").alias(value), F.col("best.__priority").alias("priority")), "__row", "left").drop("__row")
+    keyed = rows.withColumn("__keys", keys)
+    tried = keyed.select("__keys").distinct().select("__keys", F.posexplode("__keys").alias("__priority", key))
+    found = tried.join(table.select(key, value), key).groupBy("__keys").agg(F.min(F.struct("__priority", value)).alias("best"))
+    return keyed.join(found.select("__keys", F.col(f"best.{value}").alias(value), F.col("best.__priority").alias("priority")), "__keys", "left").drop("__keys")
+
+
+def or_default(rows: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
+    """rows with the value of their key in the table (one row per key), the default without one."""
+    return rows.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))

@@ -54,6 +54,23 @@ def suggestions(spark: SparkSession, query: str, index: bm25.Index, *, shortest:
     return unknown.join(F.broadcast(found), "word").select("position", "word", "term", "similarity", "rank")
 
 
+def suggest_and_search(spark: SparkSession, index: bm25.Index, query: str, *, k: int = 5, min_score: float = bm25.MIN_SCORE) -> tuple[DataFrame, DataFrame]:
+    """(suggestions, results of the query as it is, with fuzzy expansion)."""
+    return suggestions(spark, query, index), fuzzy_search(spark, index, query, k=k, min_score=min_score)
+
+
+def misspellings(found: DataFrame, index: bm25.Index) -> DataFrame:
+    """The best suggestions (position, word, term) whose word is likely to be one of them mistyped.
+
+    A word that the index lacks has no frequency; a suggestion's is the number of documents with it.
+    """
+    best = found.filter("rank = 1").select("position", "word", "term")
+    counted = best.join(index.terms.select("term", F.col("df").alias("term_df")), "term", "left").join(index.terms.select(F.col("term").alias("word"), F.col("df").alias("word_df")), "word", "left")
+    frequency, other = F.coalesce("word_df", F.lit(0)), F.coalesce("term_df", F.lit(0))
+    likely = S.likely_misspelling(F.col("word_df").isNotNull(), frequency, other, S.typo_pattern(F.col("word"), F.col("term")))
+    return counted.filter(likely).select("position", "word", "term")
+
+
 @dataclass
 class Answer:
     """A user's search: the query as given and as corrected, and the results of the one used."""
@@ -66,12 +83,13 @@ class Answer:
 
 
 def search(spark: SparkSession, index: bm25.Index, query: str, *, k: int = 5, min_score: float = bm25.MIN_SCORE) -> Answer:
-    """Clean the query, replace unknown words by their best suggestions, and search with fuzzy expansion.
+    """Clean the query, replace likely misspellings by their best suggestions, and search with fuzzy expansion.
 
     Only the suggestions of one query, at most one a word, come to the driver.
     """
     cleaned = spark.range(1).select(T.clean_query(F.lit(query)).alias("q")).first()["q"]
-    best = {r["word"]: r["term"] for r in suggestions(spark, cleaned, index).filter("rank = 1").select("word", "term").distinct().collect()}
+    found = misspellings(suggestions(spark, cleaned, index), index)
+    best = {r["word"]: r["term"] for r in found.select("word", "term").distinct().collect()}
     words = [r["word"] for r in query_words(spark, cleaned).orderBy("position").collect()]
     better = " ".join(best.get(w, w) for w in words) if best else None
     return Answer(query, better, better is not None, better or "", fuzzy_search(spark, index, better or cleaned, k=k, min_score=min_score))

@@ -15,6 +15,8 @@ from ..functions import text as T
 
 #: Sentences of a summary, sentences from which a text to be summarised is cut to head, middle and tail, terms of a document.
 SENTENCES, LONGEST, TERMS = 3, 10_000, 5000
+#: Most sentences of a summary.
+MOST = 5
 
 
 def split(docs: DataFrame, longest: int | None = None) -> DataFrame:
@@ -54,32 +56,43 @@ def ranked(sentences: DataFrame, weights: DataFrame) -> DataFrame:
     return scored.select("doc_id", "i", "sentence", F.when(highest > 0, F.col("sum") / highest).otherwise(0.0).alias("score"))
 
 
-def summaries(docs: DataFrame, n: int = SENTENCES, stopwords: Iterable[str] = T.STOPWORDS) -> DataFrame:
+def _clamped(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(n, F.lit(MOST)))
+
+
+def summaries(docs: DataFrame, n: int | str = SENTENCES, stopwords: Iterable[str] = T.STOPWORDS) -> DataFrame:
     """doc_id, summary: the n best sentences in text order; a text of no more sentences stays whole.
 
-    Texts of more than ``LONGEST`` sentences are cut to head, middle and tail.
+    n: a number or a column of docs; from 1 to ``MOST`` sentences.  Texts of more than ``LONGEST`` sentences are cut to head, middle and tail.
 
     Of equal scores (to nine places) the later sentence counts as better.
     """
+    docs = docs.select("doc_id", "text", _clamped(F.col(n) if isinstance(n, str) else F.lit(n)).alias("wanted"))
     found = split(docs, LONGEST)
     scored = ranked(found, term_weights(found, stopwords))
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), F.desc("i"))
-    best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MOST)
+    if isinstance(n, str):
+        best = best.join(docs.select("doc_id", "wanted"), "doc_id").filter(F.col("place") <= F.col("wanted"))
+    else:
+        best = best.filter(F.col("place") <= max(1, min(n, MOST)))
     joined = best.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "sentence"))), lambda s: s["sentence"]), " ").alias("best"))
-    short = F.size(T.sentences(F.coalesce("text", F.lit("")))) <= n
+    short = F.size(T.sentences(F.coalesce("text", F.lit("")))) <= F.col("wanted")
     return docs.join(joined, "doc_id", "left").select("doc_id", F.when(short, F.coalesce("text", F.lit(""))).otherwise(F.col("best")).alias("summary"))
 
 
-def preview(text: Column, summary: Column, n: int = 2, max_chars: int = 200) -> Column:
+def preview(text: Column, summary: Column, n: int | Column = 2, max_chars: int | Column = 200) -> Column:
     """A summary cut to ``max_chars``: at its last period beyond half, else at its last blank with dots; closed by a sign or dots.
 
     Blanks are collapsed first.  Blank texts give a message, short ones stay as they are;
     without a summary the first n stretches between periods serve.
     """
+    n, max_chars = (x if isinstance(x, Column) else F.lit(x) for x in (n, max_chars))
+    n = _clamped(n)
     clean = T.collapse(text)
-    pieces = F.concat(F.array_join(F.slice(F.split(clean, r"\."), 1, n), ". "), F.lit("."))
+    pieces = F.concat(F.array_join(F.slice(F.split(clean, r"\."), F.lit(1), n), ". "), F.lit("."))
     body = F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(pieces)
-    cut = F.substring(body, F.lit(1), F.lit(max_chars))
+    cut = F.substring(body, F.lit(1), max_chars)
     period, space = (F.when(F.instr(cut, c) > 0, F.length(cut) - F.instr(F.reverse(cut), c)).otherwise(-1) for c in (".", " "))
     words = F.when(space >= 0, F.substring(cut, F.lit(1), space)).otherwise(F.substring(cut, F.lit(1), F.length(cut) - 1))
     shorter = F.when(period > max_chars * 0.5, F.substring(cut, F.lit(1), period + 1)).otherwise(F.concat(words, F.lit("...")))

@@ -84,6 +84,16 @@ def deleted(tables: dict[str, DataFrame], ids: DataFrame, key: str = "task_id")
     return {name: table.join(gone, key, "left_anti").select(*table.columns) for name, table in tables.items()}
 
 
+def restarted(clustering: DataFrame, ids: DataFrame, now: Column, status: str = "processing") -> DataFrame:
+    """clustering with the tasks of ids (task_id) started again: their end and error are forgotten, new tasks are added."""
+    begun = ids.select("task_id").distinct().select("task_id", F.lit(status).alias("status"), now.alias("start_time"))
+    blank = begun.select(*(F.col(f.name) if f.name in begun.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in clustering.schema))
+    old = clustering.join(begun.select("task_id", F.lit(True).alias("again")), "task_id", "left")
+    new = {"status": F.lit(status), "start_time": now, "completion_time": F.lit(None), "error_message": F.lit(None)}
+    kept = old.select(*(F.when(F.col("again"), new[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in clustering.schema))
+    return inserted_if_absent(kept, blank, ["task_id"])
+
+
 def completion(status: Column, now: Column, before: Column) -> Column:
     """A completion time that is set only by the status completed."""
     return F.when(status == "completed", now).otherwise(before)
@@ -178,6 +188,11 @@ def metrics(rows: DataFrame, size: str, seconds: str, *by: str) -> DataFrame:
     return grouped.select("*", *(F.round(minutes / n, 2).alias(f"minutes_{n}") for n in (1, 5, 10)))
 
 
+def report(rows: DataFrame, url: str, size: str, seconds: str, *by: str) -> DataFrame:
+    """``metrics`` with the sorted distinct addresses of a task's pages."""
+    return metrics(rows, size, seconds, *by).join(rows.groupBy(*by).agg(F.array_sort(F.collect_set(url)).alias("urls")), list(by))
+
+
 def progress(rows: DataFrame, outcome: str, *by: str) -> DataFrame:
     """Counts of outcomes successful, failed and skipped, progress and success rate in percent."""
     counts = rows.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col(outcome) == name).alias(name) for name in ("successful", "failed", "skipped")))

@@ -12,7 +12,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import weights as G
-from ..operators import bm25, cluster, graph, search, summarize
+from ..operators import bm25, cluster, graph, search
 
 
 @dataclass
@@ -53,17 +53,15 @@ def search_collection(spark: SparkSession, collection: Collection, query: str, k
     return collection.documents.join(F.broadcast(found), collection.documents["page_id"] == found["doc_id"]).drop("doc_id").orderBy("rank")
 
 
-def clustered(spark: SparkSession, docs: DataFrame, *, largest: int = 10, word_partitions: int = 1) -> DataFrame:
-    """Structure of clusters of docs (id, path, url, text), from word vectors to names and previews."""
+def clustered(spark: SparkSession, docs: DataFrame, *, largest: int = 10, word_partitions: int = cluster.WORD_PARTITIONS) -> DataFrame:
+    """The documents of docs (id, path, url, text) in named clusters with previews, from word vectors on; see ``cluster.structure``."""
     tokens = docs.select(F.col("id").alias("doc_id"), F.filter(T.embedding_tokens(F.coalesce("text", F.lit(""))), lambda t: ~t.isin(list(T.STOPWORDS))).alias("tokens")).cache()
     words = cluster.vectors_of(cluster.word_vectors(tokens, partitions=word_partitions)).cache()
     vectors = cluster.document_vectors(tokens, words).cache()
     labels = cluster.kmeans(vectors, cluster.choose_k(vectors, largest)).select("id", F.col("label").alias("cluster"))
     labelled = docs.join(labels, "id")
     named = cluster.keywords(cluster.term_scores(labelled), words)
-    short = summarize.summaries(docs.select(F.col("id").alias("doc_id"), "text"), 2).select(F.col("doc_id").alias("id"), "summary")
-    previewed = labelled.join(short, "id", "left").withColumn("preview", summarize.preview(F.col("text"), F.col("summary")))
-    return cluster.structure(previewed, named)
+    return cluster.structure(cluster.previews(labelled), named)
 
 
 def validated(url: str) -> str:

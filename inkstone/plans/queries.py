@@ -609,14 +609,13 @@ def keyword_scores_tf(spark, sf_dir):
 def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _table(spark, sf_dir, "documents")
     tokens = docs.select("doc_id", F.filter(T.embedding_tokens(F.coalesce("text", F.lit(""))), lambda t: ~t.isin(list(T.STOPWORDS))).alias("tokens"))
-    parts = max(1, min(32, tokens.rdd.getNumPartitions())) if docs.count() > 100_000 else 1
-    return tokens, cluster.vectors_of(cluster.word_vectors(tokens, dimensions=32, partitions=parts)).cache()
+    return tokens, cluster.vectors_of(cluster.word_vectors(tokens, dimensions=32)).cache()
 
 
 @query()
 def word2vec_docs(spark, sf_dir):
     found = cluster.document_vectors(*_words(spark, sf_dir))
-    return found.select("id", F.size("vector").alias("dimensions"))
+    return found.select("id", F.size("vector").alias("dimensions"), F.round(S.dot(F.col("vector"), F.col("vector")), 6).alias("squared_norm"))
 
 
 @query()
@@ -635,8 +634,7 @@ def cluster_keywords(spark, sf_dir):
 @query()
 def browsable_structure(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("url"), "text")
-    found = pipeline.clustered(spark, docs, largest=3)
-    return found.select("cluster", "name", "size", F.size("documents").alias("n_documents"))
+    return pipeline.clustered(spark, docs).groupBy("cluster", "name", "size").agg(F.count("*").alias("n_documents"), F.count_if(F.col("preview") != "").alias("n_previews"))
 
 
 @query()

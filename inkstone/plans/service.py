@@ -73,10 +73,11 @@ def run(store: Store, task_id: str, pages: DataFrame, *, max_pages: int = 40, to
     Every stage leaves its state in the logs; a failed one leaves its reason and ends the run.
     """
     spark, stage = store.spark, "tasks"
+    spark.addTag(task_id)  # all jobs of the run, so that ``kill`` stops whichever is at work
     url = store.state("tasks").filter(F.col("task_id") == task_id).first()["base_path"]
     try:
         store.add("tasks", task_id, status="downloading")
-        reached = pipeline.tagged(spark, task_id, lambda: pipeline.crawled(spark, pages, url, max_pages))
+        reached = pipeline.crawled(spark, pages, url, max_pages)
         store.add("tasks", task_id, status="completed", processed_files=reached.count())
         stage = "text_index"
         store.add("text_index", task_id, status="building", index_path=store.path(task_id, "index"))
@@ -87,16 +88,18 @@ def run(store: Store, task_id: str, pages: DataFrame, *, max_pages: int = 40, to
         number = spark.read.parquet(store.path(task_id, "documents")).count()
         store.add("text_index", task_id, status="completed", total_files=number, processed_files=number)
         stage = "clustering"
-        store.add("clustering", task_id, status="running")
+        store.add("clustering", task_id, status="running", error_message=None)
         documents = spark.read.parquet(store.path(task_id, "documents"))
         docs = documents.select(F.col("page_id").alias("id"), F.col("url").alias("path"), "url", F.col("content").alias("text"))
         structure = pipeline.clustered(spark, docs, largest=clusters)
         structure.write.mode("overwrite").parquet(store.path(task_id, "clusters"))
-        store.add("clustering", task_id, status="completed", num_clusters=spark.read.parquet(store.path(task_id, "clusters")).count())
+        store.add("clustering", task_id, status="completed", num_clusters=spark.read.parquet(store.path(task_id, "clusters")).select("cluster").distinct().count())
     except Exception as error:
         reason = {"clustering": "error_message"}.get(stage, "message")
         store.add(stage, task_id, status="failed", **{reason: str(error)[:1000]})
         raise
+    finally:
+        spark.removeTag(task_id)
 
 
 def status(store: Store, task_id: str) -> str | None:

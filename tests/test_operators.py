@@ -119,8 +119,8 @@ def test_clusters(spark):
     far = [math.dist(points[0][1], points[k][1]) for k in (2, 3)]
     exact = cluster.silhouette_euclidean(vectors).first()[0]
     assert exact == pytest.approx(1 - 1 / (sum(far) / 2), abs=0.01)
-    with pytest.raises(ValueError):
-        cluster.silhouette_euclidean(vectors, max_rows=3)
+    # of three rows the mean of theirs, each against all
+    assert 0.8 < cluster.silhouette_euclidean(vectors, rows=3).first()[0] < 1 and cluster.silhouette_euclidean(vectors, rows=4).first()[0] == exact
     assert cluster.choose_k(vectors.select("id", "vector")) == 2
     assert cluster.choose_k(vectors.limit(1)) == 1 and cluster.choose_k(vectors.withColumn("vector", F.array(F.lit(1.0)))) == 1
     labels = {r["id"]: r["label"] for r in cluster.kmeans(vectors.select("id", "vector"), 9).collect()}
