@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -92,18 +93,59 @@ def silhouette_squared(vectors: DataFrame) -> DataFrame:
     return rows.agg(F.avg(value).alias("silhouette"))
 
 
+def _silhouettes(vectors: DataFrame, rows: int) -> list[float | None]:
+    """Mean Euclidean silhouette of each clustering in vectors (id, vector, labels: array<int>), in one pass.
+
+    At most ``rows`` vectors, those with the least hashes of their ids, are compared with all.
+    """
+    asked = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("vector", "labels").collect()
+    if not asked:
+        return []
+    points, own = np.array([r["vector"] for r in asked], float), np.array([r["labels"] for r in asked], np.int64)
+    sent = vectors.sparkSession.sparkContext.broadcast(points)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, sums, sizes = sent.value, {}, {}
+        norms = (points * points).sum(axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows_ = np.array(batch.column("vector").to_pylist(), float)
+            distance = np.sqrt(np.maximum(norms[:, None] + (rows_ * rows_).sum(axis=1) - 2 * points @ rows_.T, 0))
+            for k, labels in enumerate(np.array(batch.column("labels").to_pylist(), np.int64).T):
+                for label in np.unique(labels).tolist():
+                    some = labels == label
+                    sums[k, label] = sums.get((k, label), 0) + distance[:, some].sum(axis=1)
+                    sizes[k, label] = sizes.get((k, label), 0) + int(some.sum())
+        for (k, label), of in sums.items():
+            n = len(of)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, label)), pa.array(np.arange(n)), pa.array(of), pa.array(np.full(n, sizes[k, label]))], names=["k", "label", "a", "d", "n"])
+
+    each = vectors.select(F.transform("vector", lambda x: x.cast("double")).alias("vector"), "labels").mapInArrow(summed, "k long, label long, a long, d double, n long")
+    table = each.groupBy("k", "label", "a").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).toArrow().to_pandas()
+    out: list[float | None] = []
+    for k in range(own.shape[1]):
+        part = table[table["k"] == k]
+        d, n = (part.pivot(index="a", columns="label", values=c) for c in ("d", "n"))
+        inside = d.columns.to_numpy()[None, :] == own[d.index.to_numpy(), k][:, None]
+        d, n = d.to_numpy(), n.to_numpy()
+        mine, count = d[inside], n[inside]
+        other = np.where(inside, np.inf, d / n).min(axis=1)
+        mean = mine / np.maximum(count - 1, 1)
+        high = np.maximum(mean, other)
+        value = np.where((count > 1) & np.isfinite(other) & (high > 0), (other - mean) / np.where(high > 0, high, 1), 0.0)
+        out.append(float(value.mean()) if inside.shape[1] > 1 else None)
+    return out
+
+
 def silhouette_euclidean(vectors: DataFrame, rows: int = SILHOUETTE_ROWS) -> DataFrame:
     """One row: mean silhouette with Euclidean distances of at most ``rows`` vectors (id, label, vector), each against all.
 
     Those with the least hashes of their ids are taken, so up to ``rows`` vectors the result
-    is exact; the work grows with the table, not with its square.
+    is exact; the work grows with the table, not with its square.  Null for a single cluster.
     """
-    asked = vectors.select(F.col("id").alias("id_a"), F.col("label").alias("label_a"), F.col("vector").alias("vector_a")).orderBy(F.xxhash64("id_a"), "id_a").limit(rows)
-    pairs = vectors.join(F.broadcast(asked), F.col("id") != F.col("id_a")).select("id_a", "label_a", F.col("label").alias("label_b"), F.sqrt(S.squared_distance(F.col("vector_a"), F.col("vector"))).alias("d"))
-    means = pairs.groupBy("id_a", "label_a", "label_b").agg(F.avg("d").alias("d"))
-    both = means.groupBy("id_a").agg(F.max(F.when(F.col("label_a") == F.col("label_b"), F.col("d"))).alias("own"), F.min(F.when(F.col("label_a") != F.col("label_b"), F.col("d"))).alias("other"))
-    value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))
-    return both.agg(F.avg(value).alias("silhouette"))
+    found = _silhouettes(vectors.select("id", "vector", F.array(F.col("label").cast("int")).alias("labels")), rows)
+    return vectors.sparkSession.createDataFrame([(found[0] if found else None,)], "silhouette double")
 
 
 def most_similar(vectors: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
@@ -157,10 +199,14 @@ def choose_k(vectors: DataFrame, largest: int = 10, seed: int = SEED) -> int:
     if n <= 1 or not spread or spread < 1e-10:
         return 1
     points = vectors.select("id", "vector", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features")).cache()
+    ks = list(range(2, min(largest, n - 1) + 1))
+    labelled = points
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=f"label{k}").fit(points)
+        labelled = model.transform(labelled)
     best, chosen = -1.0, 2
-    for k in range(2, min(largest, n - 1) + 1):
-        labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(points).transform(points)
-        value = silhouette_euclidean(labelled.select("id", "label", "vector")).first()[0]
+    found = _silhouettes(labelled.select("id", "vector", F.array(*(f"label{k}" for k in ks)).alias("labels")), SILHOUETTE_ROWS) if ks else []
+    for k, value in zip(ks, found):
         if value is not None and value > best:
             best, chosen = value, k
     points.unpersist()

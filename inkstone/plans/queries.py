@@ -51,11 +51,11 @@ def _tokens(column: str) -> str:
 
 
 _INDEX = f"""
-tok as (select doc_id, {_tokens("coalesce(text, '')")} as toks from documents),
+tok as materialized (select doc_id, {_tokens("coalesce(text, '')")} as toks from documents),
 docs as (select doc_id, len(toks) as dl from tok where len(toks) > 0),
-post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from tok) group by all),
+post as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from tok) group by all),
 corp as (select count(*) as n, avg(dl) as avgdl from docs),
-raw as (select term, count(*) as df, sum(tf) as cf, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from post, corp group by term),
+raw as materialized (select term, count(*) as df, sum(tf) as cf, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from post, corp group by term),
 eps as (select avg(raw) as avg_idf, 0.25 * avg(raw) as eps from raw),
 terms as (select term, df, cf, case when raw < 0 then eps else raw end as idf from raw, eps)
 """
@@ -184,11 +184,6 @@ def corrected_query(spark, sf_dir):
     return spark.range(1).select(F.posexplode(F.split(F.lit(answer.suggested_query or "idoit clowm thonon"), " ")).alias("position", "word")).select("word", "position")
 
 
-@query()
-def corrected_search(spark, sf_dir):
-    return _ranked(search.search(spark, _index(spark, sf_dir), MISTYPED).results)
-
-
 _PAIRS = (("padas", "pandas"), ("what", "whats"), ("colour", "color"), ("abc", "xyz"), ("teh", "the"), ("he11o", "hello"), ("form", "from"), ("pand4s", "pandas"), ("ab", "ba"), ("panddas", "pandas"), ("m0ron", "moron"), ("similar", "simliar"))
 _PAIR_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)
 _SHARED = "array_to_string(list_filter(string_split({0}, ''), lambda c: c <> '' and contains({1}, c)), '')"
@@ -262,12 +257,6 @@ def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
-@query()
-def html_tree_text(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.length(H.tree_text("html")).alias("n_chars"), F.length(H.area_text("html")).alias("n_area_chars"))
-
-
 @query(f"select page_id, coalesce({_OWN_TITLE}, url) as title from pages")
 def page_title(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html"), F.col("url")).alias("title"))

@@ -32,5 +32,8 @@ def state(spark: SparkSession, folder: str, keys: list[str], at: str) -> DataFra
 
 
 def windowed_counts(stream: DataFrame, at: str = "ts", *by: str, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    """Counts by time window and columns; rows later than ``lateness`` are dropped with their state."""
-    return stream.withWatermark(at, lateness).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
+    """Counts by time window and columns; rows later than ``lateness`` are dropped with their state.
+
+    Times without a zone count as those of the session's.
+    """
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from inkstone.plans import more_queries  # noqa: F401  (adds its queries)
 from inkstone.plans.queries import ORACLES, QUERIES
 
 
