@@ -22,17 +22,26 @@ MIN_SCORE = -30.0
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf), docs (doc_id, dl, weight), terms (term, df, cf, raw_idf, idf), corpus (one row)."""
+    """postings (term, doc_id, tf), docs (doc_id, dl, weight), terms (term, df, cf, raw_idf, idf), corpus (one row).
+
+    weights (doc_id, weight) and epsilon are what the other tables were made with, for ``write``.
+    """
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    weights: DataFrame | None = None
+    epsilon: float = EPSILON
 
     def write(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("docs", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Postings first, sorted by term within files; the other tables are made from what is written."""
+        spark = self.postings.sparkSession
+        self.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = _from_postings(spark.read.parquet(f"{path}/postings"), self.weights, self.epsilon) if self.weights is not None else self
+        written.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        written.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        written.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
@@ -45,19 +54,26 @@ def tokenized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def build_index(tokens: DataFrame, *, epsilon: float = EPSILON, strict: bool = False) -> Index:
-    """Index documents (doc_id, tokens, weight); those without tokens are left out, or raise an error if ``strict``."""
-    size = F.size("tokens")
+    """Index documents (doc_id, tokens, weight); those without tokens are left out, or raise an error if ``strict``.
+
+    Everything follows from the postings, so a query tokenizes the texts once.
+    """
     if strict:
-        tokens = tokens.filter(F.when(size == 0, F.raise_error(F.lit("a document has no tokens")).cast("boolean")).otherwise(True))
-    docs = tokens.filter(size > 0).select("doc_id", size.cast("long").alias("dl"), "weight")
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
+        tokens = tokens.filter(F.when(F.size("tokens") == 0, F.raise_error(F.lit("a document has no tokens")).cast("boolean")).otherwise(True))
+    # the filter stands here, so that joins add none of their own and one shuffle serves all; explode would count tokens first
+    postings = tokens.select("doc_id", F.explode_outer("tokens").alias("term")).filter("doc_id is not null and term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return _from_postings(postings, tokens.select("doc_id", "weight"), epsilon)
+
+
+def _from_postings(postings: DataFrame, weights: DataFrame, epsilon: float) -> Index:
+    docs = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")).join(weights.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id")
+    corpus = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
     counted = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     raw = counted.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", "cf", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("avg_idf"))
     corpus = corpus.crossJoin(mean).withColumn("eps", epsilon * F.col("avg_idf"))
     terms = raw.crossJoin(F.broadcast(corpus.select("eps"))).select("term", "df", "cf", "raw_idf", F.when(F.col("raw_idf") < 0, F.col("eps")).otherwise(F.col("raw_idf")).alias("idf"))
-    return Index(postings, docs, terms, corpus)
+    return Index(postings, docs, terms, corpus, weights, epsilon)
 
 
 def statistics(index: Index) -> DataFrame:
