@@ -66,9 +66,11 @@ def build_index(tokens: DataFrame, *, epsilon: float = EPSILON, strict: bool = F
 
 
 def _from_postings(postings: DataFrame, weights: DataFrame, epsilon: float) -> Index:
-    docs = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")).join(weights.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id")
-    corpus = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
-    counted = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # counts look at tf and dl, so that every table needs the same columns and shares the postings' shuffle
+    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    docs = lengths.join(weights.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id")
+    corpus = lengths.agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
+    counted = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf"))
     raw = counted.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", "cf", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("avg_idf"))
     corpus = corpus.crossJoin(mean).withColumn("eps", epsilon * F.col("avg_idf"))
