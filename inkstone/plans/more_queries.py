@@ -151,16 +151,11 @@ select p.page_id, coalesce(k.url, '') as url from pages p left join keyed k on k
 )
 def url_of_path(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), F.col("page_id").cast("string")).alias("path"), "url")
-    known = files.url_mapping(pages.filter("page_id % 2 = 0").withColumn("first", F.min("page_id").over(_by_url())).filter("first = page_id"))
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    known = files.url_mapping(first.filter("page_id % 2 = 0").select(F.concat(F.lit("/"), F.col("page_id").cast("string")).alias("path"), "url"))
     return lookup.or_default(pages.drop("url"), known, "path", "url", "").select("page_id", "url")
 
 
-def _by_url():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("url")
-
-
 @query("select page_id, cast(length(html) as int) as size from pages where page_id % 3 <> 0 and url not in (select url from pages where page_id % 3 = 0)")
 def pages_to_store(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
