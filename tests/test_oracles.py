@@ -71,3 +71,10 @@ def test_urls_of_repeated_pages(spark, tmp_path):
     rows = [(1, "http://a/", ""), (2, "http://a/", ""), (4, "http://b/", ""), (6, "http://b/", ""), (7, "http://b/", ""), (8, "http://c/", ""), (8, "http://c/", ""), (10, None, "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     _same_as_sql(spark, "url_of_path", tmp_path, "pages")
+
+
+def test_entities_without_semicolon(spark, tmp_path):
+    texts = ("a &amp", "a &amp b &amp; c", "&lt x &lt; y", "&notit; &ampx; & &; &copy; &copy", "&amp;lt; &#39; &#39 x", "R&D &middot; AT&T;")
+    rows = [(k, "http://a/", f"<html><head><title>{t}</title></head><body><p>{t}</p><p>end</p></body></html>") for k, t in enumerate(texts)]
+    spark.createDataFrame([*rows, (99, "http://a/", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    _same_as_sql(spark, "html_tree_text", tmp_path, "pages")
