@@ -231,3 +231,35 @@ def test_pipeline_functions(spark):
     pipeline.cancel(spark, "job-1")
     pages = spark.createDataFrame([(1, "http://a.org/", '<a href="/b">b</a>'), (2, "http://a.org/b", "<p>x</p>"), (3, "http://a.org/c", "")], "page_id long, url string, html string")
     assert sorted(r["page_id"] for r in pipeline.crawled(spark, pages, "http://a.org/").collect()) == [1, 2]
+
+
+def test_words_and_shares_of_word_vectors(spark):
+    # two languages that never meet; words that occur once have no vector
+    texts = [(k, [("a" if k % 2 else "b") + str((k * 7 + j * j * 3 + j) % 20) for j in range(30)] + [f"once{k}"]) for k in range(400)]
+    tokens = spark.createDataFrame([*texts, (400, None), (None, ["b0"])], "doc_id long, tokens array<string>")
+    words = cluster.word_vectors(tokens, dimensions=16, share=7000)
+    again = cluster.word_vectors(tokens.repartition(5), dimensions=16, share=7000)
+    found = {r["word"]: r for r in words.collect()}
+    assert set(found) == {t for _, w in texts for t in w if not t.startswith("once")}
+    assert sum(r["n"] for r in found.values()) == 400 * 30 + 1
+    assert {r["word"]: r["vector"] for r in again.collect()} == {w: r["vector"] for w, r in found.items()}
+    common = [sum(x) / len(found) for x in zip(*(r["vector"] for r in found.values()))]
+    less = {w: [x - c for x, c in zip(r["vector"], common)] for w, r in found.items()}
+    cosine = lambda a, b: math.sumprod(less[a], less[b]) / math.hypot(*less[a]) / math.hypot(*less[b])
+    near = {w: max((x for x in less if x != w), key=lambda x: cosine(w, x)) for w in less}
+    assert sum(w[0] == x[0] for w, x in near.items()) >= 0.9 * len(near)
+
+    # words sent to the executors and words joined give the same means, of each row its own
+    for head in (0, 16 * 10, 10**9):
+        vectors = {r["id"]: r["vector"] for r in cluster.document_vectors(tokens, words, head).collect()}
+        assert len(vectors) == 402 and vectors[400] == [0.0] * 16 and vectors[None] == pytest.approx(found["b0"]["vector"], abs=1e-6)
+        assert vectors[3] == pytest.approx([sum(x) / 30 for x in zip(*(found[w]["vector"] for w in texts[3][1][:-1]))], abs=1e-6)
+
+
+def test_the_driver_holds_no_word_list(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    monkeypatch.setattr(Word2Vec, "fit", lambda *_: pytest.fail("trained with the words on the driver"))
+    tokens = spark.createDataFrame([(k, ["x", "y", "z"]) for k in range(9)], "doc_id long, tokens array<string>")
+    assert cluster.word_vectors(tokens, dimensions=8).select("word").count() == 3
+    assert cluster.word_vectors(tokens.limit(0), dimensions=8).count() == 0
