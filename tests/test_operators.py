@@ -263,3 +263,11 @@ def test_the_driver_holds_no_word_list(spark, monkeypatch):
     tokens = spark.createDataFrame([(k, ["x", "y", "z"]) for k in range(9)], "doc_id long, tokens array<string>")
     assert cluster.word_vectors(tokens, dimensions=8).select("word").count() == 3
     assert cluster.word_vectors(tokens.limit(0), dimensions=8).count() == 0
+
+
+def test_terms_are_compared_with_all_other_documents(spark):
+    rows = [(k, 0, "/a", "apple") for k in range(3)] + [(10 + k, 1, "/b", "apple" if k < 3 else "pear") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "id long, cluster int, path string, text string")
+    found = {(r["cluster"], r["term"]): r for r in cluster.term_scores(docs).collect()}
+    assert found[0, "apple"]["other_tf"] == 3 / 1500 and found[0, "apple"]["distinctiveness"] == 1 - 3 / 1500
+    assert found[1, "apple"]["other_tf"] == 1.0 and found[1, "pear"]["other_tf"] == 0.0
