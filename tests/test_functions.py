@@ -161,3 +161,11 @@ def test_vectors(spark):
     assert value(spark, S.cosine(a, b)) == pytest.approx(1 / math.sqrt(2))
     assert value(spark, S.cosine(a, F.array(F.lit(0.0), F.lit(0.0)))) is None
     assert value(spark, S.squared_distance(a, b)) == 1.0
+
+
+def test_previews_are_small_plans(spark):
+    # parts of a preview are worked out once: nested uses of them grew beyond what Java compiles
+    text = F.concat_ws(". ", F.lit("One sentence here"), F.col("id").cast("string"))
+    shown = spark.range(1).select(summarize.preview(text, F.lit(None).cast("string"), F.lit(2), F.lit(5)).alias("p"))
+    assert str(shown._jdf.queryExecution().analyzed()).count("concat_ws") < 10
+    assert shown.first()["p"] == "One..."
