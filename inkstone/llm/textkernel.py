@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Bytes hashed at a time, few enough for a core's cache.
+HASH_BYTES = 1 << 15
 U64 = np.uint64
 _P, _P_INVERSE = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -27,6 +29,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for a table of 256 single bytes, several times as fast."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser, element-wise."""
     x = np.atleast_1d(np.asarray(x, U64))
@@ -58,14 +65,14 @@ def word_bounds(data: np.ndarray, starts: np.ndarray, space: np.ndarray = SPACE)
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    blank = space[data]
+    blank = translated(data, space)
     opens, closes = np.empty(n, bool), np.empty(n, bool)
     opens[0], opens[1:] = True, blank[:-1]
     closes[-1], closes[:-1] = True, blank[1:]
     inner = starts[(starts > 0) & (starts < n)]
     opens[inner], closes[inner - 1] = True, True
     begin, end = np.flatnonzero(opens & ~blank), np.flatnonzero(closes & ~blank) + 1
-    return begin, end, np.searchsorted(starts, begin, "right") - 1
+    return begin, end, np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(begin, starts)))
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -86,11 +93,11 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each word's bytes, alike in every process."""
     out, k = np.empty(len(begin), U64), 0
     while k < len(begin):
-        stop = max(k + 1, int(np.searchsorted(end, begin[k] + SLICE_BYTES, "right")))
+        stop = max(k + 1, int(np.searchsorted(end, begin[k] + HASH_BYTES, "right")))
         low, high = begin[k], end[stop - 1]
         up, down = _powers(int(high - low))
         sums = np.zeros(high - low + 1, U64)
-        np.cumsum(_BYTE_CODES[data[low:high]] * up[: high - low], out=sums[1:])
+        np.cumsum(_BYTE_CODES.take(data[low:high]) * up[: high - low], out=sums[1:])
         b, e = begin[k:stop] - low, end[k:stop] - low
         out[k:stop] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(U64) * _GOLD)
         k = stop
